@@ -131,3 +131,56 @@ def mix(h: np.ndarray) -> np.ndarray:
 def single_threaded() -> None:
     """Keeps native libraries in a worker to the one core that its task has."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts given as bytes, and the offset of each text; bad bytes become U+FFFD."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    lead = (raw & 0xC0) != 0x80
+    if int(lead.sum()) == len(points):
+        at = np.concatenate([[0], np.cumsum(lead)])[offsets]
+        return points, at
+    each = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer("".join(each).encode("utf-32-le"), "<u4"), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, index of the text of each piece): whole texts, or parts of a text longer than most, cut before a blank.
+
+    Parts follow one another.  Memory stays bounded however long a text is; a run of more
+    than most bytes without a blank is cut at a character.
+    """
+    for lo, hi in runs(offsets, most):
+        if offsets[hi] - offsets[lo] <= most:
+            yield raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], np.arange(lo, hi)
+            continue
+        at, end = int(offsets[lo]), int(offsets[lo + 1])
+        while at < end:
+            stop = min(at + most, end)
+            if stop < end:
+                blanks = np.flatnonzero(BLANK[raw[at + 1 : stop]])
+                if len(blanks):
+                    stop = at + 1 + int(blanks[-1])
+                else:
+                    while stop > at + 1 and (raw[stop] & 0xC0) == 0x80:
+                        stop -= 1
+            yield raw[at:stop], np.array([0, stop - at]), np.array([lo])
+            at = stop
+
+
+def appended(df: DataFrame, columns: dict[str, str], make) -> DataFrame:
+    """df with columns that make(batch) returns as arrays; make gets an Arrow batch with all of df's columns.
+
+    One pass without a shuffle: rows stream through Python in batches and keep all their columns.
+    """
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
+    schema = StructType([*df.schema.fields, *added.fields])
+
+    def over(batches):
+        for batch in batches:
+            new = make(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(new[k] for k in columns)], names=[*batch.schema.names, *columns])
+
+    return df.mapInArrow(over, schema)

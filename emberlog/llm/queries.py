@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, sharding
+from emberlog.llm import langid, mixing, quality, sharding
 from emberlog.llm.common import table
 
 #: The tree and the weights of the mixing query.
@@ -21,6 +21,20 @@ MIX = {
 }
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 4, 2))
+    model = langid.fit(docs.where("not held_out"))
+    out = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("doc_id", "held_out", F.col("_el_lang").alias("lang_pred"), F.col("_el_score").alias("score"), F.col("_el_rejected").alias("rejected"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 3, 1))
+    out = quality.score(docs, quality.fit(docs.where("not held_out"), labels))
+    return out.select("doc_id", "held_out", F.col("_el_score").alias("score"), (F.col("_el_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, with the number of times it takes each."""
     out = mixing.mix(table(spark, sf_dir, "documents"), **MIX).where("_el_copies > 0")
@@ -32,6 +46,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op10_sharding": op10_sharding,
 }
