@@ -23,7 +23,7 @@ from emberlog.llm.common import if_small, stage
 #: Rows of the leaf table up to which it is broadcast; more leaves are joined by shuffle.
 LEAVES_BROADCAST = 20_000
 #: Documents of a leaf that one task orders when an epoch is cut, about.
-CUT_BLOCK_ROWS = 100_000
+CUT_BLOCK_ROWS = 4_000
 WORDS = r"[^ \t-\r]+"
 LEVELS = ("domain", "lang", "source")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import langid, mixing, quality, sharding
+from emberlog.llm import ann, langid, mixing, quality, secrets, sharding
 from emberlog.llm.common import table
 
 #: The tree and the weights of the mixing query.
@@ -28,6 +28,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("_el_lang").alias("lang_pred"), F.col("_el_score").alias("score"), F.col("_el_rejected").alias("rejected"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its owner and its repository."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"))[0])
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
     labels = table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 3, 1))
@@ -41,14 +46,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_el_domain").alias("domain"), "lang", "source", F.col("_el_tokens").alias("n_tokens"), F.col("_el_copies").alias("copies"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, centres = ann.build_index(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, centres, index.where("id % 100 = 0"), k=10)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op7_neighbours": op7_neighbours,
     "op10_sharding": op10_sharding,
 }
 
