@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, langid, mixing, quality, secrets, sharding
+from emberlog.llm import ann, decontam, huffman, langid, mixing, quality, secrets, sharding
 from emberlog.llm.common import table
 
 #: The tree and the weights of the mixing query.
@@ -21,6 +21,12 @@ MIX = {
 }
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item whose passage it holds."""
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("n_equal").alias("n_equal"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 4, 2))
     model = langid.fit(docs.where("not held_out"))
@@ -51,16 +57,26 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, centres, index.where("id % 100 = 0"), k=10)
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = huffman.fresh_path(spark)
+    huffman.write(table(spark, sf_dir, "documents"), path, huffman.library_encoder(public_tokenizers.path("byte_bpe_50k.json")), vocabulary=50_257)
+    return huffman.digest(spark, path)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontam": op1_decontam,
     "op2_langid": op2_langid,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op7_neighbours": op7_neighbours,
+    "op9_tokens": op9_tokens,
     "op10_sharding": op10_sharding,
 }
 

@@ -139,9 +139,10 @@ def digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 3)
     shown = F.filter("spans", lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k
     return spans.select(
         key,
-        *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(shown).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"),
