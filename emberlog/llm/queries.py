@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, decontam, huffman, langid, mixing, quality, secrets, sharding
+from emberlog.llm import ann, decontam, html_text, huffman, langid, mixing, quality, secrets, sharding
 from emberlog.llm.common import table
 
 #: The tree and the weights of the mixing query.
@@ -57,6 +57,11 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, centres, index.where("id % 100 = 0"), k=10)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op7_neighbours": op7_neighbours,
+    "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_sharding": op10_sharding,
 }
