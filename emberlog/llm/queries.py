@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, decontam, html_text, huffman, langid, mixing, quality, secrets, sharding
+from emberlog.llm import ann, decontam, html_text, huffman, jaccard, langid, mixing, quality, secrets, sharding
 from emberlog.llm.common import table
 
 #: The tree and the weights of the mixing query.
@@ -52,6 +52,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_el_domain").alias("domain"), "lang", "source", F.col("_el_tokens").alias("n_tokens"), F.col("_el_copies").alias("copies"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))[0]
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, centres = ann.build_index(table(spark, sf_dir, "embeddings"))
     return ann.search(index, centres, index.where("id % 100 = 0"), k=10)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_jaccard": op6_jaccard,
     "op7_neighbours": op7_neighbours,
     "op8_html": op8_html,
     "op9_tokens": op9_tokens,
