@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import decontam, jaccard, langid, mixing, quality, sharding
-from emberlog.llm.common import stage, table
+from emberlog.llm.common import if_small, stage, table, text_of
 from emberlog.llm.queries import MIX
 
 
@@ -22,19 +22,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where("_el_score >= 0.5").select(*docs.columns)
 
 
+#: Rows of ids and hashes up to which a decision is broadcast (some 30 MB).
+DECISIONS_BROADCAST = 1_000_000
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of each component of near copies; of rows that repeat it, one.
+    """Keeps the row with the smallest id of each component of near copies; of several rows with that id, one.
 
-    Texts without words are near copies of nothing and stay.
+    Texts without words are near copies of nothing and stay, as do rows without an id.
     """
-    found = jaccard.similar_sets(docs)[0]
-    drop = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_el_id")).distinct()
-    drop = stage(drop, "copies")
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_el_id"]), "left_anti")
-    again = stage(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_el_id")), "repeated-ids")
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["_el_id"]), "left_anti")
-    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["_el_id"]), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    found = stage(jaccard.similar_sets(docs)[0].where("n_shingles > 0 and doc_id is not null"), "components")
+    drop = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_el_id"), F.col("text_hash").alias("_el_hash")).distinct(), "copies")
+    named = docs.withColumn("_el_text", F.xxhash64(text_of()))
+    same = (F.col("doc_id") == F.col("_el_id")) & (F.col("_el_text") == F.col("_el_hash"))
+    kept = named.join(if_small(drop, drop.count(), DECISIONS_BROADCAST), same, "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("_el_hash")).where("n > 1")
+    again = stage(again.select(F.col("doc_id").alias("_el_id"), "_el_hash"), "repeated-ids")
+    if (n := again.count()) == 0:
+        return kept.select(*docs.columns)
+    again = if_small(again, n, DECISIONS_BROADCAST)
+    once = kept.join(again, F.col("doc_id") == F.col("_el_id"), "left_anti")
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def cell(h: np.ndarray) -> np.ndarray:
 
 
 def described(d: DataFrame) -> DataFrame:
-    """_id, n, print (of the whole set), and the rows of a sketch: chunk, counts."""
+    """_id, _tag, n, print (of the whole set), and the rows of a sketch: chunk, counts."""
 
     def over(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -131,18 +131,18 @@ def described(d: DataFrame) -> DataFrame:
             if held:
                 sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
             none = pa.nulls(len(batch), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(batch), pa.int32()), none], names=["_id", "n", "print", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_tag"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(batch), pa.int32()), none], names=["_id", "_tag", "n", "print", "chunk", "counts"])
             kind = batch.column("_id").type
         if sketch.any():
             part = sketch.reshape(SKETCH_CHUNKS, -1)
             narrow = part.astype(np.min_scalar_type(int(sketch.max())))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SKETCH_CHUNKS, kind), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(np.arange(SKETCH_CHUNKS, dtype=np.int32)), pa.array([bytes([x.itemsize]) + x.tobytes() for x in narrow], pa.binary())],
-                names=["_id", "n", "print", "chunk", "counts"],
+                [pa.nulls(SKETCH_CHUNKS, kind), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(np.arange(SKETCH_CHUNKS, dtype=np.int32)), pa.array([bytes([x.itemsize]) + x.tobytes() for x in narrow], pa.binary())],
+                names=["_id", "_tag", "n", "print", "chunk", "counts"],
             )
 
     kind = d.schema["_id"].dataType.simpleString()
-    return d.mapInArrow(over, f"_id {kind}, n long, print binary, chunk int, counts binary")
+    return d.mapInArrow(over, f"_id {kind}, _tag long, n long, print binary, chunk int, counts binary")
 
 
 def gathered(sketches: DataFrame) -> np.ndarray:
@@ -331,9 +331,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links).  documents: key, n_shingles, component_id for every row; links: verified pairs of distinct sets."""
+    """(documents, links).  documents: key, n_shingles, component_id, text_hash for every row; links: verified pairs of distinct sets."""
     d = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text"))
-    said = stage(described(d), "join-sizes")
+    said = stage(described(d.withColumn("_tag", F.xxhash64("_text"))), "join-sizes")
     sketch = gathered(said.where("chunk is not null"))
     pre = stage(prefixes(d, sketch, percent), "join-prefixes")
     nodes = stage(pre.groupBy("print").agg(F.min("_id").alias("_id"), F.min("grp").alias("grp")), "join-nodes")
@@ -372,7 +372,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     nodes = nodes.join(over, nodes["root"] == over["node"], "left").select("print", "_id", F.coalesce(over["root"], nodes["root"]).alias("root"))
     names = nodes.groupBy("root").agg(F.min("_id").alias("component_id"))
     nodes = nodes.join(names, "root").select("print", "component_id")
-    rows = said.where("chunk is null").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "print")
-    alone = rows.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id"))
-    found = rows.where("n_shingles > 0").join(nodes, "print").select(key, "n_shingles", "component_id")
+    rows = said.where("chunk is null").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "print", F.col("_tag").alias("text_hash"))
+    alone = rows.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id"), "text_hash")
+    found = rows.where("n_shingles > 0").join(nodes, "print").select(key, "n_shingles", "component_id", "text_hash")
     return found.unionByName(alone), links
