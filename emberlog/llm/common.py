@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -69,7 +70,22 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     path = staged_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._emberlog_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes tables that stage() made and nothing will read again, and lets Spark drop shuffle files that nothing refers to.
+
+    Spark frees shuffle files when the JVM's collector finds their plans gone, which a long
+    driver program would otherwise leave to chance.
+    """
+    for df in frames:
+        drop_path(df.sparkSession, df._emberlog_path)
+        _STAGED.remove((df.sparkSession, df._emberlog_path))
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:

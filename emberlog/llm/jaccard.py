@@ -26,10 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import BLANK, mix, odd_multipliers, pieces, runs, stage, text_of, utf8
+from emberlog.llm.common import BLANK, mix, odd_multipliers, pieces, runs, stage, text_of, unstage, utf8
 
 WORDS = 5
 PERCENT = 80
@@ -113,6 +114,11 @@ def cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def named_by(id_: Column, tag: Column) -> Column:
+    """A text that names a document's row: its id and a hash of its text."""
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("\\N")), tag.cast("string"))
+
+
 def described(d: DataFrame) -> DataFrame:
     """_id, _tag, n, print (of the whole set), and the rows of a sketch: chunk, counts."""
 
@@ -178,7 +184,7 @@ def list_counts(sketch: np.ndarray) -> np.ndarray:
 
 
 def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """_id, n, print, grp (of size and prefix), prefix (shingles in order) and lists (that the shingle's postings are dealt into) of documents with shingles."""
+    """_id, _tag, n, print, grp (of size and prefix), prefix (shingles in order) and lists (that the shingle's postings are dealt into) of documents with shingles."""
     shared = d.sparkSession.sparkContext.broadcast((ranks(sketch), list_counts(sketch)))
 
     def over(batches):
@@ -201,12 +207,12 @@ def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             ends = pa.array(np.cumsum([0, *(len(x) for x in found_)]).astype(np.int32))
             flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_, lists_)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(keep, pa.int64())), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)],
-                names=["_id", "n", "print", "grp", "prefix", "lists"],
+                [*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("_id", "_tag")), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)],
+                names=["_id", "_tag", "n", "print", "grp", "prefix", "lists"],
             )
 
     kind = d.schema["_id"].dataType.simpleString()
-    return d.mapInArrow(over, f"_id {kind}, n long, print binary, grp long, prefix array<long>, lists array<long>")
+    return d.mapInArrow(over, f"_id {kind}, _tag long, n long, print binary, grp long, prefix array<long>, lists array<long>")
 
 
 def postings(pre: DataFrame) -> DataFrame:
@@ -254,58 +260,61 @@ def possible(percent: int, n, at, m, other_at):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (least * 100 >= (n + m - least) * percent)
 
 
-def _bit(print_: bytes, id_) -> int:
-    return int.from_bytes(hashlib.blake2b(print_ + str(id_).encode(), digest_size=4).digest(), "little") >> (32 - FILTER_BITS)
-
-
-def verified(d: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b: prints of sets) with ``linked``.
+def packed(d: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_name and compressed text of documents whose _name is in wanted, and of a few others.
 
-    Only the sets that stand in pairs are made again and shuffled, from one document of each; a filter of fixed
-    size drops most other documents at the scan, the join with the wanted ones drops the rest.
+    The scan drops most other documents by a filter of fixed size; callers join by name.  Texts are shipped
+    rather than sets: compressed, a text is a third of its shingles' hashes.
     """
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), "print").select("print", F.col("_id").alias("_wanted"))
-    kind = d.schema["_id"].dataType.simpleString()
-
-    def bits(batches):
-        found = set()
-        for batch in batches:
-            found.update(map(_bit, batch.column("print").to_pylist(), batch.column("_wanted").to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["bit"])
-
-    wanted = stage(wanted, "join-wanted")
+    bit = F.shiftrightunsigned(F.xxhash64("_name"), 64 - FILTER_BITS).cast("int")
     some = np.zeros(1 << FILTER_BITS, bool)
-    some[wanted.mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True  # at most 2**FILTER_BITS numbers
+    some[wanted.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most 2**FILTER_BITS numbers
     shared = d.sparkSession.sparkContext.broadcast(some)
 
-    def again(batches):
+    def over(batches):
         for batch in batches:
-            ids = batch.column("_id").to_pylist()
-            keep, prints, found_ = [], [], []
-            for i, found in enumerate(sets(*utf8(batch.column("_text")))):
-                if len(found) and shared.value[_bit(p := fingerprint(found), ids[i])]:
-                    keep.append(i)
-                    prints.append(p)
-                    found_.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(keep, pa.int64())), pa.array(prints, pa.binary()), pa.array(found_, pa.binary())], names=["_id", "print", "shingles"])
+            keep = pa.array(np.flatnonzero(shared.value[np.asarray(batch.column("_bit"))]))
+            part = batch.select(["_name", "_text"]).take(keep)
+            texts = [zstandard.compress(t.encode(), 3) for t in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("_name"), pa.array(texts, pa.binary())], names=["_name", "packed"])
+
+    return d.select("_name", "_text", bit.alias("_bit")).mapInArrow(over, "_name string, packed binary")
+
 
-    full = d.mapInArrow(again, f"_id {kind}, print binary, shingles binary").join(wanted, "print").where(F.col("_id").eqNullSafe(F.col("_wanted")))
-    full = stage(full.select("print", "shingles"), "join-sets", "none").dropDuplicates(["print"])
-    left = full.select(F.col("print").alias("a"), F.col("shingles").alias("x"))
-    right = full.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
+def _opened(column: pa.Array) -> list[np.ndarray]:
+    texts = pa.array([zstandard.decompress(x.as_buffer()) for x in column], pa.binary())
+    return list(sets(*utf8(texts)))
+
+
+def verified(d: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b: prints of sets) with ``linked``.  Each set is made from one document that has it."""
+    one = nodes.select("print", "_name")
+    named = pairs.join(one.select(F.col("print").alias("a"), F.col("_name").alias("a_name")), "a")
+    named = stage(named.join(one.select(F.col("print").alias("b"), F.col("_name").alias("b_name")), "b"), "join-named")
+    texts = packed(d, named.select(F.explode(F.array("a_name", "b_name")).alias("_name")))
 
     def compare(batches):
+        last: tuple[object, np.ndarray | None] = (None, None)
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs: merged
-                same = int((both[1:] == both[:-1]).sum())
-                out.append(same * 100 >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a binary, b binary, linked boolean")
+            for lo in range(0, len(batch), 128):
+                some = batch.slice(lo, 128)
+                out = []
+                names = some.column("b").to_pylist()
+                fresh = [i for i, b in enumerate(names) if b != (names[i - 1] if i else last[0])]  # pairs of one b follow each other
+                made = dict(zip(fresh, _opened(some.column("y").take(pa.array(fresh, pa.int64()))), strict=True))
+                y = last[1]
+                for i, x in enumerate(_opened(some.column("x"))):
+                    y = made.get(i, y)
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")  # two sorted runs: merged
+                    same = int((both[1:] == both[:-1]).sum())
+                    out.append(same * 100 >= percent * (len(both) - same))
+                last = (names[-1], y)
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+
+    both = named.join(texts.withColumnRenamed("packed", "x"), named["a_name"] == texts["_name"]).select("a", "b", "b_name", "x")
+    both = both.join(texts.withColumnRenamed("packed", "y"), both["b_name"] == texts["_name"]).select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a binary, b binary, linked boolean").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,13 +341,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links).  documents: key, n_shingles, component_id, text_hash for every row; links: verified pairs of distinct sets."""
-    d = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text"))
-    said = stage(described(d.withColumn("_tag", F.xxhash64("_text"))), "join-sizes")
-    sketch = gathered(said.where("chunk is not null"))
-    pre = stage(prefixes(d, sketch, percent), "join-prefixes")
-    nodes = stage(pre.groupBy("print").agg(F.min("_id").alias("_id"), F.min("grp").alias("grp")), "join-nodes")
+    d = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
+    d = d.withColumn("_name", named_by(F.col("_id"), F.col("_tag")))
+    said = stage(described(d.select("_id", "_tag", "_text")), "join-sizes")
+    sketches = stage(said.where("chunk is not null"), "join-sketches")
+    sketch = gathered(sketches)
+    pre = stage(prefixes(d.select("_id", "_tag", "_text"), sketch, percent), "join-prefixes")
+    nodes = pre.groupBy("print").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_tag")).alias("x"), F.min("grp").alias("grp"))
+    nodes = stage(nodes.select("print", "x._id", named_by(F.col("x._id"), F.col("x._tag")).alias("_name"), "grp"), "join-nodes")
     groups = nodes.groupBy("grp").agg(F.min("print").alias("pivot"))
     lists = stage(postings(pre), "join-lists")
+    unstage(pre)
 
     # round one: neighbours in the lists, and the members of each group with its pivot
     near = lists.where("grp <> prev").where(possible(percent, F.col("n"), F.col("at"), F.col("prev_n"), F.col("prev_at"))).select("grp", "prev").distinct()
@@ -346,10 +359,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     inner = nodes.join(groups, "grp").where("print <> pivot").select(F.col("print").alias("p"), F.col("pivot").alias("q"))
     pairs = near.unionByName(inner).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
     first = stage(verified(d, nodes, stage(pairs, "join-pairs"), percent), "join-verified")
+    unstage(sketches)
 
     # round two: only what may still join different components
     roots = components(first.where("linked"))
-    nodes = stage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "_id", "grp", F.coalesce("root", "print").alias("root")), "join-roots")
+    nodes = stage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "_id", "_name", "grp", F.coalesce("root", "print").alias("root")), "join-roots")
     groups = nodes.groupBy("grp").agg(F.min("root").alias("r"), F.max("root").alias("s"))
     rows = lists.select("token", "grp", "n", "at").unionByName(lists.select("token", F.col("prev").alias("grp"), F.col("prev_n").alias("n"), F.col("prev_at").alias("at")))
     rows = rows.join(groups, "grp")
