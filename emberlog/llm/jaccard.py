@@ -4,12 +4,12 @@ A document is the set of its distinct five-word shingles (64-bit hashes).  Shing
 estimate of how often they occur (rare ones first), then by hash; two sets of similarity ``percent`` or
 more share a shingle among the first ``n - ceil(percent * n / 100) + 1`` of each (their prefixes).
 
-1.  One pass counts shingles in a count-mean sketch of fixed size; the order needs only to be one fixed order, so
+1.  One pass counts shingles in a count-mean sketch of bounded size; the order needs only to be one fixed order, so
     errors of the sketch cost time and never links.
 2.  One pass takes every document's prefix.  Documents of one size and prefix form a group; exact copies always do.
 3.  Groups are listed under the shingles of their prefix, and pairs of groups are taken from the lists.  A
-    list isn't expanded into all its pairs: round one pairs each group with the list's neighbours in size and
-    with its first group.  Later pairs are needed only between groups whose members are still in different
+    list isn't expanded into all its pairs: round one pairs each group with a few hubs of the list, the groups with the
+    fewest shingles of their own.  Later pairs are needed only between groups whose members are still in different
     components; pairs that sizes and places in the prefixes rule out are filtered.
 4.  Group pairs are expanded to pairs of distinct sets and verified on the whole sets.
 5.  Verified links are joined to components by label propagation with pointer jumping.
@@ -34,12 +34,15 @@ from emberlog.llm.common import BLANK, mix, odd_multipliers, pieces, runs, stage
 
 WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 18
-SKETCH_CHUNKS = 64
+#: The sketch has 16 to 32 cells a document, in powers of two between these.
+MIN_SKETCH_BITS, MAX_SKETCH_BITS = 16, 26
+SKETCH_CHUNK = 1 << 14
 #: Bits of the fixed-size filter of sets that are verified.
 FILTER_BITS = 20
 #: Postings of one list, about.
 LIST_ROWS = 1000
+#: Hubs of a shingle's list.
+HUBS = 3
 _BYTE = odd_multipliers(6, 256)
 _PLACE = odd_multipliers(61, 64)
 _WORD = odd_multipliers(62, WORDS)
@@ -110,8 +113,12 @@ def fingerprint(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(n_docs: int) -> int:
+    return min(max(int(n_docs).bit_length() + 4, MIN_SKETCH_BITS), MAX_SKETCH_BITS)
+
+
+def cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def named_by(id_: Column, tag: Column) -> Column:
@@ -119,54 +126,45 @@ def named_by(id_: Column, tag: Column) -> Column:
     return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("\\N")), tag.cast("string"))
 
 
-def described(d: DataFrame) -> DataFrame:
+def described(d: DataFrame, bits: int) -> DataFrame:
     """_id, _tag, n, print (of the whole set), and the rows of a sketch: chunk, counts."""
 
     def over(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             size, prints = [], []
-            held = []
             for found in sets(*utf8(batch.column("_text"))):
                 size.append(len(found))
                 prints.append(fingerprint(found))
-                held.append(cell(found))
-                if len(held) >= 256:
-                    sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
-                    held = []
-            if held:
-                sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
+                np.add.at(sketch, cell(found, bits), np.uint32(1))
             none = pa.nulls(len(batch), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_tag"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(batch), pa.int32()), none], names=["_id", "_tag", "n", "print", "chunk", "counts"])
             kind = batch.column("_id").type
-        if sketch.any():
-            part = sketch.reshape(SKETCH_CHUNKS, -1)
-            narrow = part.astype(np.min_scalar_type(int(sketch.max())))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SKETCH_CHUNKS, kind), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.int64()), pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(np.arange(SKETCH_CHUNKS, dtype=np.int32)), pa.array([bytes([x.itemsize]) + x.tobytes() for x in narrow], pa.binary())],
-                names=["_id", "_tag", "n", "print", "chunk", "counts"],
-            )
+        for chunk, part in enumerate(sketch.reshape(-1, SKETCH_CHUNK)):
+            if part.any():
+                counts = part.astype(np.min_scalar_type(int(part.max())))
+                row = [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([chunk], pa.int32()), pa.array([bytes([counts.itemsize]) + zstandard.compress(counts.tobytes(), 1)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["_id", "_tag", "n", "print", "chunk", "counts"])
 
     kind = d.schema["_id"].dataType.simpleString()
     return d.mapInArrow(over, f"_id {kind}, _tag long, n long, print binary, chunk int, counts binary")
 
 
-def gathered(sketches: DataFrame) -> np.ndarray:
+def gathered(sketches: DataFrame, bits: int) -> np.ndarray:
     """The sum of all tasks' sketches: each chunk is added up as a stream, in a task of its own; a fixed size comes to the driver."""
-    width = (1 << SKETCH_BITS) // SKETCH_CHUNKS
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                had = total.setdefault(chunk, np.zeros(width, np.int64))
-                had += np.frombuffer(counts[1:], f"<u{counts[0]}")
+                had = total.setdefault(chunk, np.zeros(SKETCH_CHUNK, np.int64))
+                had += np.frombuffer(zstandard.decompress(counts[1:]), f"<u{counts[0]}")
         for chunk, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros((SKETCH_CHUNKS, width), np.int64)
-    for r in sketches.repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    out = np.zeros(1 << bits, np.int64).reshape(-1, SKETCH_CHUNK)
+    for r in sketches.repartition(32, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
     return out.reshape(-1)
 
 
@@ -178,9 +176,9 @@ def ranks(sketch: np.ndarray) -> np.ndarray:
 
 
 def list_counts(sketch: np.ndarray) -> np.ndarray:
-    """For each cell, into how many lists the postings of a shingle in it are split: a power of two, 1 for most."""
+    """For each cell, into how many lists the postings of a shingle in it are split: the power of two, 0 for most."""
     over = np.maximum(sketch - sketch.mean() - 4 * np.sqrt(sketch.mean()), 1) / LIST_ROWS
-    return np.exp2(np.maximum(np.ceil(np.log2(over)), 0)).astype(np.int64)
+    return np.maximum(np.ceil(np.log2(over)), 0).astype(np.uint8)
 
 
 def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -189,6 +187,7 @@ def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
 
     def over(batches):
         rank, lists = shared.value
+        bits = len(rank).bit_length() - 1
         for batch in batches:
             keep, size, prints, groups, found_, lists_ = [], [], [], [], [], []
             for i, found in enumerate(sets(*utf8(batch.column("_text")))):
@@ -196,14 +195,14 @@ def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 if not n:
                     continue
                 k = prefix_length(n, percent)
-                r = rank[cell(found)]  # found is in order of hash: rarer cells come first, hashes decide within
+                r = rank[cell(found, bits)]  # found is in order of hash: rarer cells come first, hashes decide within
                 first = found[np.argsort(r, kind="stable")[:k]] if r.any() else found[:k]
                 keep.append(i)
                 size.append(n)
                 prints.append(fingerprint(found))
                 groups.append(int.from_bytes(hashlib.blake2b(n.to_bytes(8, "little") + first.tobytes(), digest_size=8).digest(), "little", signed=True))
                 found_.append(first.view(np.int64))
-                lists_.append(lists[cell(first)])
+                lists_.append(1 << lists[cell(first, bits)].astype(np.int64))
             ends = pa.array(np.cumsum([0, *(len(x) for x in found_)]).astype(np.int32))
             flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_, lists_)]
             yield pa.RecordBatch.from_arrays(
@@ -216,39 +215,38 @@ def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
 
 
 def postings(pre: DataFrame) -> DataFrame:
-    """token, grp, n, at, prev, prev_n, prev_at of the shingles that more than one group lists.
+    """token, grp, n, at of the shingles that more than one group lists, once for each group.
 
-    prev is the group before this one in its list, by size.  A very common shingle's postings are dealt
-    into several lists by group, and a share of each list is dealt into one more, numbered 0, that connects them.
+    A very common shingle's postings are dealt into several lists by group, and told whatever each list holds.
     """
     e = pre.select("grp", "n", F.posexplode(F.arrays_zip("prefix", "lists")).alias("at", "x")).select(F.col("x.prefix").alias("token"), F.col("x.lists").alias("lists"), "grp", "n", "at")
-    spread = F.shiftrightunsigned(F.col("grp"), 8)
-    own = F.when(F.col("lists") > 1, F.pmod(spread, F.col("lists")) + 2).otherwise(F.lit(1))
-    again = (F.col("lists") > 1) & (F.pmod(F.shiftrightunsigned(F.col("grp"), 32), F.col("lists")) == 0)
-    e = e.withColumn("list", F.explode(F.when(again, F.array(own, F.lit(0))).otherwise(F.array(own)))).select("token", "list", "grp", F.col("n").cast("int").alias("n"), "at")
-    e = e.repartition("token", "list").sortWithinPartitions("token", "list", "n", "grp")
+    spread = F.pmod(F.shiftrightunsigned(F.col("grp"), 8), F.col("lists"))
+    e = e.select("token", F.when(F.col("lists") > 1, spread + 1).otherwise(F.lit(0)).alias("list"), "grp", F.col("n").cast("int").alias("n"), "at")
+    e = e.repartition("token", "list").sortWithinPartitions("token", "list", "grp")
 
     def over(batches):
-        held = None  # the last group so far, if its list may go on
+        held, follows_held = None, False  # the last group so far: whether it is told depends on the next
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+
+        def told(which, columns):
+            return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["token", "grp", "n", "at"])
+
         for batch in batches:
             token, list_, grp, n, at = (np.asarray(batch.column(c)) for c in ("token", "list", "grp", "n", "at"))
             if held is not None:
                 token, list_, grp, n, at = (np.concatenate([[h], x]) for h, x in zip(held, (token, list_, grp, n, at), strict=True))
-            fresh = np.ones(len(token), bool)
             same = (token[1:] == token[:-1]) & (list_[1:] == list_[:-1])
-            fresh[1:] = ~(same & (grp[1:] == grp[:-1]))
+            fresh = np.append(True, ~(same & (grp[1:] == grp[:-1])))
             token, list_, grp, n, at = (x[fresh] for x in (token, list_, grp, n, at))
-            # a row with a predecessor is told with it; so each list of two or more groups gives all but its first
-            follows = np.zeros(len(token), bool)
-            follows[1:] = (token[1:] == token[:-1]) & (list_[1:] == list_[:-1])
-            tell = follows | (list_ > 1)  # of a shingle with several lists every group is told, a list's first with itself
-            tell[0] &= held is None
-            linked = np.flatnonzero(tell)
-            before = linked - follows[linked]
-            held = tuple(x[-1] for x in (token, list_, grp, n, at))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((token[linked], np.int64), (grp[linked], np.int64), (n[linked], np.int32), (at[linked], np.int32), (grp[before], np.int64), (n[before], np.int32), (at[before], np.int32))], names=["token", "grp", "n", "at", "prev", "prev_n", "prev_at"])
+            follows = np.append(held is not None and follows_held, (token[1:] == token[:-1]) & (list_[1:] == list_[:-1]))
+            tell = follows | (list_ > 0)
+            tell[:-1] |= follows[1:]
+            held, follows_held = tuple(x[-1] for x in (token, list_, grp, n, at)), bool(follows[-1])
+            yield told(np.flatnonzero(tell[:-1]), (token, grp, n, at))
+        if held is not None and (follows_held or held[1] > 0):
+            yield told(np.zeros(1, np.int64), tuple(np.array([held[i]]) for i in (0, 2, 3, 4)))
 
-    return e.mapInArrow(over, "token long, grp long, n int, at int, prev long, prev_n int, prev_at int")
+    return e.mapInArrow(over, "token long, grp long, n int, at int")
 
 
 def possible(percent: int, n, at, m, other_at):
@@ -343,9 +341,10 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     """(documents, links).  documents: key, n_shingles, component_id, text_hash for every row; links: verified pairs of distinct sets."""
     d = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
     d = d.withColumn("_name", named_by(F.col("_id"), F.col("_tag")))
-    said = stage(described(d.select("_id", "_tag", "_text")), "join-sizes")
+    bits = sketch_bits(docs.count())
+    said = stage(described(d.select("_id", "_tag", "_text"), bits), "join-sizes")
     sketches = stage(said.where("chunk is not null"), "join-sketches")
-    sketch = gathered(sketches)
+    sketch = gathered(sketches, bits)
     pre = stage(prefixes(d.select("_id", "_tag", "_text"), sketch, percent), "join-prefixes")
     nodes = pre.groupBy("print").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_tag")).alias("x"), F.min("grp").alias("grp"))
     nodes = stage(nodes.select("print", "x._id", named_by(F.col("x._id"), F.col("x._tag")).alias("_name"), "grp"), "join-nodes")
@@ -353,9 +352,13 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     lists = stage(postings(pre), "join-lists")
     unstage(pre)
 
-    # round one: neighbours in the lists, and the members of each group with its pivot
-    near = lists.where("grp <> prev").where(possible(percent, F.col("n"), F.col("at"), F.col("prev_n"), F.col("prev_at"))).select("grp", "prev").distinct()
-    near = near.join(groups.select("grp", F.col("pivot").alias("p")), "grp").join(groups.select(F.col("grp").alias("prev"), F.col("pivot").alias("q")), "prev").select("p", "q")
+    # round one: every group with its lists' hubs, and the members of each group with its pivot
+    common = lists.groupBy("grp").agg(F.count("*").alias("c"))
+    own = lists.join(common, "grp").withColumn("_u", F.expr(f"n - ({percent} * n + 99) div 100 + 1 - c"))
+    hubs = own.groupBy("token", F.pmod(F.shiftrightunsigned(F.col("grp"), 40), F.lit(HUBS)).alias("_h")).agg(F.min(F.struct("_u", "n", "grp", "at")).alias("x"))
+    hubs = hubs.select("token", F.col("x.grp").alias("hub"), F.col("x.n").alias("h_n"), F.col("x.at").alias("h_at"))
+    near = lists.join(hubs, "token").where("grp <> hub").where(possible(percent, F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"))).select("grp", "hub").distinct()
+    near = near.join(groups.select("grp", F.col("pivot").alias("p")), "grp").join(groups.select(F.col("grp").alias("hub"), F.col("pivot").alias("q")), "hub").select("p", "q")
     inner = nodes.join(groups, "grp").where("print <> pivot").select(F.col("print").alias("p"), F.col("pivot").alias("q"))
     pairs = near.unionByName(inner).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
     first = stage(verified(d, nodes, stage(pairs, "join-pairs"), percent), "join-verified")
@@ -365,10 +368,9 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     roots = components(first.where("linked"))
     nodes = stage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "_id", "_name", "grp", F.coalesce("root", "print").alias("root")), "join-roots")
     groups = nodes.groupBy("grp").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    rows = lists.select("token", "grp", "n", "at").unionByName(lists.select("token", F.col("prev").alias("grp"), F.col("prev_n").alias("n"), F.col("prev_at").alias("at")))
-    rows = rows.join(groups, "grp")
+    rows = lists.join(groups, "grp")
     open_ = rows.groupBy("token").agg(F.min("r").alias("_r"), F.max("s").alias("_s")).where("_r <> _s").select("token")
-    rows = stage(rows.join(open_, "token").distinct(), "join-open")
+    rows = stage(rows.join(open_, "token"), "join-open")
     o = rows.select("token", *(F.col(c).alias(f"o_{c}") for c in ("grp", "n", "at", "r", "s")))
     more = rows.join(o, "token").where("grp < o_grp and not (r = s and o_r = o_s and r = o_r)")
     more = more.where(possible(percent, F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"))).select("grp", "o_grp").distinct()
