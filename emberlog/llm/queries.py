@@ -91,4 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _filled(nodes: str, parent: str, name: str, above: str) -> str:
+    """One level of the tree in SQL: nodes' shares of their parents' budgets."""
+    by = f"PARTITION BY {parent}"
+    return f"""{name}_0 AS (SELECT {parent}, {nodes} AS name, sum(cap) AS cap, max(w_{nodes}) AS w FROM leaves GROUP BY ALL),
+{name}_1 AS (SELECT n.{parent.replace(", ", ", n.")}, n.name, CASE WHEN max(w) OVER ({by}) > 0 AND w = 0 THEN 0 ELSE n.cap END AS cap, CASE WHEN max(w) OVER ({by}) > 0 THEN greatest(w, 1) ELSE 1 END AS w, a.budget FROM {name}_0 n JOIN {above} a USING ({parent})),
+{name}_2 AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER ({by} ORDER BY cap / w, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_1),
+{name}_3 AS (SELECT *, CASE WHEN greatest(budget - before, 0)::HUGEINT * w::HUGEINT <= cap::HUGEINT * rest::HUGEINT THEN row(cap / w, name, before, rest) END AS open FROM {name}_2),
+{name} AS (SELECT {parent}, name AS {nodes}, CASE WHEN f IS NULL THEN cap ELSE least(cap, (greatest(budget - f[3], 0)::HUGEINT * w::HUGEINT) // f[4]::HUGEINT) END AS budget FROM (SELECT *, min(open) OVER ({by}) AS f FROM {name}_3))"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": f"""WITH d AS (SELECT doc_id, lang, source, 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 3) AS domain, coalesce(lang, '\\N') AS l, coalesce(source, '\\N') AS s, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_tokens FROM documents),
+leaves AS (SELECT 1 AS root, domain, l, s, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap, CASE domain WHEN 'd0' THEN 5 WHEN 'd1' THEN 3 ELSE 2 END AS w_domain, CASE l WHEN 'en' THEN 4 ELSE 2 END AS w_l, 1 + coalesce(try_cast(regexp_extract(s, '([0-9]+)$', 1) AS BIGINT), 0) % 4 AS w_s FROM d GROUP BY ALL),
+top AS (SELECT root, least(sum(tokens)::BIGINT * 80 // 100, sum(cap)::BIGINT) AS budget FROM leaves GROUP BY root),
+{_filled("domain", "root", "one", "top")},
+{_filled("l", "root, domain", "two", "one")},
+{_filled("s", "root, domain, l", "three", "two")},
+plan AS (SELECT domain, l, s, CASE WHEN tokens > 0 THEN t.budget // tokens ELSE 0 END::BIGINT AS epochs, CASE WHEN tokens > 0 THEN t.budget % tokens ELSE 0 END::BIGINT AS cut FROM leaves JOIN three t USING (domain, l, s)),
+run AS (SELECT d.*, epochs, cut, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY ('0x' || substr(md5('17:' || epochs || ':' || coalesce(doc_id::VARCHAR, '\\N')), 1, 15))::BIGINT, coalesce(doc_id::VARCHAR, '\\N')) AS run FROM d JOIN plan USING (domain, l, s))
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, (epochs + CASE WHEN run <= cut THEN 1 ELSE 0 END)::BIGINT AS copies FROM run WHERE epochs + CASE WHEN run <= cut THEN 1 ELSE 0 END > 0""",
+}
