@@ -26,16 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import single_threaded, stage, staged_path, text_of
+from emberlog.llm.common import mix, odd_multipliers, single_threaded, stage, staged_path, text_of
 
 MAX_LENGTH = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
 MAGIC = b"EHF1"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
 #: A text longer than this is split where a word must begin.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
@@ -128,64 +130,228 @@ def unpack(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndar
     return out.T.reshape(-1)[:n]
 
 
-#: The word pattern of the vocabulary's pre-tokenizer.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The word pattern of the vocabulary's pre-tokenizer is
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+#: Characters below this are split in numpy; texts with others go through the library whole.
+LATIN = 0x250
+LETTER, NUMBER, OTHER, SPACE, FOREIGN = range(5)
+BASE = int(odd_multipliers(9, 1)[0])
+
+
+def _classes() -> np.ndarray:
+    import unicodedata
+
+    out = np.full(LATIN + 1, OTHER, np.uint8)
+    for p in range(LATIN):
+        kind = unicodedata.category(chr(p))[0]
+        out[p] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    out[[9, 10, 11, 12, 13, 32]] = SPACE
+    out[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, LATIN]] = FOREIGN  # white space to some, and all that is above
+    return out
 
 
 class Tokens:
-    """Ids of texts as the tokenizers library gives them.
+    """Ids of texts as the tokenizers library gives them for words of a byte-level vocabulary.
 
-    The vocabulary's words are tokenised one by one by the library and kept: a text of Latin letters
-    without special strings is the concatenation of its words.  All other texts go through the library whole.
+    The library splits a text into words and tokenises each.  Words recur, so texts are split and
+    hashed (64 bits) in numpy, and only words not seen before go through the library; their ids are
+    kept.  Texts with characters beyond Latin ones, special strings or apostrophe endings go through the library whole.
     """
 
     def __init__(self, path: str):
         single_threaded()
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
-        special = [regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.other = regex.compile("|".join(["[^\\x00-\\u024f]", *special])).search
-        self.split = regex.compile(r"(?<=\S)(?= [A-Za-z])")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.classes = _classes()
+        names = self.library.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.start = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def words(self, text: str) -> np.ndarray:
-        found = self.find(text)
-        at = list(map(self.number.get, found))
-        if None in at:
-            new = list(dict.fromkeys(w for w, i in zip(found, at, strict=True) if i is None))
-            if len(self.number) + len(new) > CACHE_WORDS:
-                self.forget()
-                new = list(dict.fromkeys(found))
-            ids = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            base = len(self.number)
-            self.number.update(zip(new, range(base, base + len(new)), strict=True))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-            at = list(map(self.number.__getitem__, found))
-        at = np.array(at, np.int64)
-        size = self.start[at + 1] - self.start[at]
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        self.slots, self.words = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.known = 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The word number of each key, -1 for new ones: a hash table with linear probing, all keys at once."""
+        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.slots[at]
+        out = np.where(held == keys, self.words[at], -1)
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+            held = self.slots[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.words[at[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+        return out
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.other(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(text) <= PIECE_CHARS:
-            return self.words(text)
+    def keep(self, keys: np.ndarray) -> None:
+        """Numbers new, distinct keys from ``known`` on."""
+        number = np.arange(self.known, self.known + len(keys), dtype=np.int32)
+        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[at[todo]] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.slots[at[own]], self.words[at[own]] = keys[own], number[own]
+            todo = np.setdiff1d(todo, own, assume_unique=True)
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+        self.known += len(keys)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = []
+        lo, held = 0, 0
+        for i, t in enumerate(texts):
+            if len(t) > PIECE_CHARS:
+                out += self.latin(texts[lo:i])
+                out.append(np.concatenate([x for piece in self.cut(t) for x in self.latin([piece])]))
+                lo, held = i + 1, 0
+            elif (held := held + len(t)) > PIECE_CHARS:
+                out += self.latin(texts[lo : i + 1])
+                lo, held = i + 1, 0
+        return out + self.latin(texts[lo:])
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces that begin with a blank and a letter after a character that isn't blank: a word begins there.
+
+        A text with a special string or foreign characters isn't cut.
+        """
+        import re
+
+        if any(x in text for x in self.special) or not text.isascii() and max(text) >= chr(LATIN):
+            return [text]
         parts, at = [], 0
-        for m in self.split.finditer(text):
+        for m in re.compile(r"(?<=\S)(?= [A-Za-z])").finditer(text):
             if m.start() - at >= PIECE_CHARS:
-                parts.append(self.words(text[at : m.start()]))
+                parts.append(text[at : m.start()])
                 at = m.start()
-        return np.concatenate([*parts, self.words(text[at:])])
+        return [*parts, text[at:]]
+
+    def latin(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) for t in texts])
+        begins = ends - [len(t) for t in texts]
+        kind = self.classes[np.minimum(points, LATIN)]
+        odd = kind == FOREIGN
+        quote = np.flatnonzero(points[:-1] == 39)
+        odd[quote[np.isin(points[quote + 1], np.frombuffer(b"strvmld", np.uint8))]] = True
+        odd = {int(x) for x in np.searchsorted(ends, np.flatnonzero(odd), "right")}
+        for x in self.special:
+            if x in whole:
+                odd |= {i for i, t in enumerate(texts) if x in t}
+        n = len(points)
+        start = np.empty(n, bool)
+        if n:
+            start[0] = True
+            start[1:] = kind[1:] != kind[:-1]
+            inner = begins[begins < n]
+            start[inner] = True
+            after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+            first = np.zeros(n, bool)
+            first[inner] = True
+            after = after[~first[after]]
+            start[after - 1] = True  # the last blank before a word belongs to it, or is a word
+            start[after[points[after - 1] == 32]] = False
+        at = np.flatnonzero(start)
+        # a word's hash is the sum of its characters times powers of its places: a difference of running sums, moved to place 0
+        powers, inverse = _powers(n)
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((points + np.uint32(1)) * powers[:n], out=sums[1:])
+        stop = np.append(at[1:], n)
+        h = np.maximum(mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)), np.uint64(1))
+        number = self.find(h)
+        if (number < 0).any():
+            new = np.flatnonzero(number < 0)
+            keys, first = np.unique(h[new], return_index=True)
+            if self.known + len(keys) > CACHE_WORDS:
+                self.forget()
+                new = np.arange(len(h))
+                keys, first = np.unique(h, return_index=True)
+            a, b = at[new[first]].tolist(), stop[new[first]].tolist()
+            self.learn(keys, [whole[x:y] for x, y in zip(a, b, strict=True)])
+            number[new] = self.find(h[new])
+        size = self.size[number]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        flat = self.flat[np.repeat(self.start[number] - (end - size), size) + np.arange(total)]
+        edge = np.append(end - size, total)[np.searchsorted(at, np.append(begins, n))]
+        out = [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for i in odd:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Tokenises new words.
+
+        Words of letters are tokenised many at once, those with a blank before them one after the other, the rest
+        a line each; which ids begin with a blank, or are the line feed, shows where each word's ids begin.
+        """
+        led = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        bare = [i for i, w in enumerate(words) if w.isalpha()]
+        order, flats, sizes = [], [], []
+        if led:
+            got = np.array(self.library.encode_batch_fast(["".join(words[i] for i in led)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.begins[got])
+            if len(cuts) == len(led):
+                order += led
+                flats.append(got)
+                sizes.append(np.diff(np.append(cuts, len(got))))
+        if bare and len(self.line) == 1:
+            got = np.array(self.library.encode_batch_fast(["\n".join(words[i] for i in bare)], add_special_tokens=False)[0].ids, np.uint32)
+            end = got == self.line[0]
+            cuts = np.flatnonzero(end)
+            if len(cuts) == len(bare) - 1:
+                order += bare
+                flats.append(got[~end])
+                sizes.append(np.diff(np.append(cuts, len(got)), prepend=-1) - 1)
+                sizes[-1][-1] = len(got) - (cuts[-1] + 1 if len(cuts) else 0)
+        done = set(order)
+        rest = [i for i in range(len(words)) if i not in done]
+        if rest:
+            ids = [x.ids for x in self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+            order += rest
+            flats.append(np.array([x for y in ids for x in y], np.uint32))
+            sizes.append(np.array([len(x) for x in ids], np.int64))
+        flat, sizes = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+        base, n = self.known, len(order)
+        while base + n > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.start[base : base + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[base : base + n] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.keep(keys[order])
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64, for n places at least."""
+    if len(_POWERS[0]) < n:
+        size = max(2 * PIECE_CHARS, n)
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+_TOKENS: dict[str, Tokens] = {}
 
 
 def tokenised(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], key: str, text: str, end_id: int) -> DataFrame:
@@ -220,8 +386,8 @@ def tokenised(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[
 
         for batch in batches:
             arrow = batch.column("_key").type
-            for lo in range(0, len(batch), 64):
-                some = batch.slice(lo, 64)
+            for lo in range(0, len(batch), 256):
+                some = batch.slice(lo, 256)
                 for k, ids in zip(some.column("_key").to_pylist(), encode(some.column("_text").to_pylist()), strict=True):
                     keys.append(k)
                     held.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
@@ -305,14 +471,15 @@ def _decoded(spark: SparkSession, path: str, key: str, with_ids: bool) -> DataFr
     return blocks.select(*columns).mapInArrow(over, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def library_encoder(path: str):
-    """An encoder over the tokenizers file at path; made once in each task."""
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """By the tokenizers file at path.  A module's function, so that a worker keeps its words from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path].encode(texts)
 
-    def make():
-        tokens = Tokens(path)
-        return lambda texts: [tokens.encode(t) for t in texts]
 
-    return make
+def library_encoder(path: str):
+    return lambda: lambda texts: encode_texts(path, texts)
 
 
 def fresh_path(spark: SparkSession) -> str:
