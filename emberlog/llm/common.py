@@ -5,15 +5,19 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to or come from a Python worker at once; a worker holds several copies of that.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that one numpy step works on at most (a single longer text is cut at a blank).
 CHUNK_BYTES = 1 << 20
 
@@ -56,7 +60,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES, so that long texts don't fill the workers' memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def staged_path(spark: SparkSession, tag: str) -> str:
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/emberlog-{tag}-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
     return path
@@ -115,6 +127,14 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def filled(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of texts, null ones empty."""
+    column = batch.column(name)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.string())
+    return pc.fill_null(column, "") if column.null_count else column
+
+
 #: Of each byte: is it one of \x20, \x09-\x0D?
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -193,6 +213,7 @@ def appended(df: DataFrame, columns: dict[str, str], make) -> DataFrame:
 
     added = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
     schema = StructType([*df.schema.fields, *added.fields])
+    bound_batches(df.sparkSession)
 
     def over(batches):
         for batch in batches:

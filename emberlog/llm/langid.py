@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import appended, codepoints, mix, pieces, text_of, utf8
+from emberlog.llm.common import appended, codepoints, filled, id_crc, mix, pieces, utf8
 
 ORDER = 4
 DOCS_PER_LANG = 1500
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
     def predict(batch):
         m = shared.value
-        raw, offsets = utf8(batch.column("_el_text"))
+        raw, offsets = utf8(filled(batch, text))
         h, count = m.entropies(raw, offsets)
         best = h.argmin(axis=1)
         z = np.exp(-(h - h.min(axis=1, keepdims=True)) / m.heat)
@@ -242,11 +242,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         lang = np.where(none, "und", np.array(m.langs, object)[best])
         return {"_el_lang": pa.array(lang, pa.string()), "_el_score": pa.array(score), "_el_rejected": pa.array(none | (h[np.arange(len(h)), best] > m.limit[best]))}
 
-    out = appended(docs.withColumn("_el_text", text_of(text)), {"_el_lang": "string", "_el_score": "double", "_el_rejected": "boolean"}, predict)
-    return out.drop("_el_text")
+    return appended(docs, {"_el_lang": "string", "_el_score": "double", "_el_rejected": "boolean"}, predict)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
-    from emberlog.llm.common import id_crc
-
     return F.pmod(id_crc(key), F.lit(modulus)) == remainder

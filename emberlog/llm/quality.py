@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import appended, codepoints, mix, odd_multipliers, pieces, text_of, utf8
+from emberlog.llm.common import appended, codepoints, filled, mix, odd_multipliers, pieces, text_of, utf8
 
 BITS = 18
 DIM = 8
@@ -158,6 +158,6 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch):
-        return {"_el_score": pa.array(shared.value.scores(*utf8(batch.column("_el_text"))))}
+        return {"_el_score": pa.array(shared.value.scores(*utf8(filled(batch, text))))}
 
-    return appended(docs.withColumn("_el_text", text_of(text)), {"_el_score": "double"}, make).drop("_el_text")
+    return appended(docs, {"_el_score": "double"}, make)
