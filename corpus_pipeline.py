@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import decontam, jaccard, langid, mixing, quality, sharding
 from emberlog.llm.common import if_small, stage, table, text_of
-from emberlog.llm.queries import MIX
+from emberlog.llm.queries import mixture
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mixture says: rows taken twice appear twice."""
-    out = mixing.mix(docs, **MIX).where("_el_copies > 0")
+    out = mixing.mix(docs, **mixture()).where("_el_copies > 0")
     return out.withColumn("_el_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_el_copies"))).select(*docs.columns)
 
 

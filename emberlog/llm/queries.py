@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from emberlog.llm import ann, decontam, html_text, huffman, jaccard, langid, mixing, quality, secrets, sharding
 from emberlog.llm.common import table
 
-#: The tree and the weights of the mixing query.
-SOURCE_NO = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0))
-MIX = {
-    "domain": F.concat(F.lit("d"), (SOURCE_NO % 3).cast("string")),
-    "w_domain": F.when(F.col("domain") == "d0", 5).when(F.col("domain") == "d1", 3).otherwise(2),
-    "w_lang": F.when(F.col("lang") == "en", 4).otherwise(2),
-    "w_source": 1 + SOURCE_NO % 4,
-    "percent": 80, "max_epochs": 2, "seed": 17,
-}
+def mixture() -> dict:
+    """The tree and the weights of the mixing query: columns need a session, so they are made when asked for."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    return {
+        "domain": F.concat(F.lit("d"), (number % 3).cast("string")),
+        "w_domain": F.when(F.col("domain") == "d0", 5).when(F.col("domain") == "d1", 3).otherwise(2),
+        "w_lang": F.when(F.col("lang") == "en", 4).otherwise(2),
+        "w_source": 1 + number % 4,
+        "percent": 80, "max_epochs": 2, "seed": 17,
+    }
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, with the number of times it takes each."""
-    out = mixing.mix(table(spark, sf_dir, "documents"), **MIX).where("_el_copies > 0")
+    out = mixing.mix(table(spark, sf_dir, "documents"), **mixture()).where("_el_copies > 0")
     return out.select("doc_id", F.col("_el_domain").alias("domain"), "lang", "source", F.col("_el_tokens").alias("n_tokens"), F.col("_el_copies").alias("copies"))
 
 
