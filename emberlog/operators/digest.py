@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.catalogue import out_of_order
 from emberlog.sources.model import canonical_metadata
 
 LIMBS = 8
@@ -47,3 +48,13 @@ def quick(entries: DataFrame, metadata: Column | None = None) -> DataFrame:
 
 def verify(entries: DataFrame, expected_count: int, expected_digest: str) -> bool:
     return digest(entries) == (expected_count, expected_digest)
+
+
+def validate(entries: DataFrame, expected_count: int, expected_digest: str, order: str | None = None) -> list[str]:
+    """What is wrong with stored entries: nothing, or ``count``, ``digest``, ``order`` (times that fall along a whole-number column)."""
+    n, found = digest(entries)
+    wrong = [] if n == expected_count else ["count"]
+    wrong += [] if found == expected_digest else ["digest"]
+    if order is not None and out_of_order(entries, order).first()["violations"]:
+        wrong.append("order")
+    return wrong

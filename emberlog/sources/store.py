@@ -35,7 +35,7 @@ BLOCK = T.StructType(
     + [T.StructField(n, T.LongType()) for n in ("day", "entry_count", "byte_size", "ts_min", "ts_max", "terms", "written_us")]
 )
 STORED = T.StructType([*ENTRY.fields, *[T.StructField(column_name(k), T.StringType()) for k in COLUMN_KEYS]])
-#: Fewest terms for which a wanted value could have been left out of the index: levels always have postings.
+#: Levels always have postings, so blocks can be chosen by them.
 LEVEL_TERM = "level:"
 
 
@@ -121,9 +121,11 @@ class LogStore:
         if fmt == "raw":
             writer = d.write.option("compression", "lz4")
         elif batches is not None:
-            writer = d.repartition(batches, "_batch").sortWithinPartitions("day", "_batch", "timestamp_us").drop("_batch").write.option("compression", "zstd")
+            writer = d.repartition(batches, "_batch").sortWithinPartitions("day", "_batch", "timestamp_us").drop("_batch").write
         else:
-            writer = d.repartitionByRange("day", "timestamp_us").sortWithinPartitions("day", "timestamp_us").write.option("compression", "zstd").option("maxRecordsPerFile", self.config.compaction_rows)
+            writer = d.repartitionByRange("day", "timestamp_us").sortWithinPartitions("day", "timestamp_us").write.option("maxRecordsPerFile", self.config.compaction_rows)
+        if fmt != "raw":
+            writer = writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", self.codec_level())
         writer.partitionBy("day").parquet(home)
         if not self.fs.exists(self._hadoop(f"segments/{segment}/_SUCCESS")):
             return self.spark.createDataFrame([], BLOCK)
@@ -255,6 +257,11 @@ class LogStore:
     def raw_debt(self) -> int:
         return self.catalogue().where("format = 'raw'").agg(F.coalesce(F.sum("byte_size"), F.lit(0))).first()[0]
 
+    def codec_level(self) -> int:
+        """Of new compressed blocks: lower while uncompacted data are beyond half their limit, so that they shrink sooner."""
+        c = self.config
+        return c.pressure_codec_level if self.raw_debt() > c.raw_debt_limit // 2 else c.idle_codec_level
+
     # maintenance
 
     def compact(self, force: bool = False) -> str:

@@ -273,3 +273,34 @@ def test_writers_in_threads_lose_nothing(log):
 def test_sql(log):
     log.ingest(records(4))
     assert log.sql("select count(*) as n from logs where level = :x", x="error").first()["n"] == 1
+
+
+def test_copies_resume_and_are_verified(log, spark, tmp_path):
+    from emberlog.sources import transfer
+
+    for k in range(3):
+        log.ingest(records(10, 10 * k))
+        log.flush()
+    target = LogStore(spark, str(tmp_path / "target"))
+
+    class Stop(Exception):
+        pass
+
+    def stop(done, of):
+        if done == 2:
+            raise Stop
+
+    with pytest.raises(Stop):
+        transfer.copy(log.store, target, stop)
+    assert not transfer.same(log.store, target) and not transfer.remove_copied(log.store, target)
+    assert transfer.copy(log.store, target) == 30 - 20 and transfer.copy(log.store, target) == 0
+    n, d = digest.digest(log.store.entries())
+    assert digest.validate(target.entries(), n, d) == [] and digest.validate(target.entries(), n + 1, "0" * 64) == ["count", "digest"]
+    assert transfer.remove_copied(log.store, target) and not (tmp_path / "store").exists()
+
+
+def test_pressure_lowers_the_codec_level(log, spark):
+    log.ingest(records(5))
+    log.flush()
+    assert log.store.codec_level() == 9
+    assert LogStore(spark, log.store.path, Config(raw_debt_limit=10)).codec_level() == 3
