@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import appended, codepoints, filled, id_crc, mix, pieces, utf8
+from emberlog.llm.common import appended, codepoints, filled, id_crc, mix, pieces, stage, utf8
 
 ORDER = 4
 DOCS_PER_LANG = 1500
@@ -194,6 +194,7 @@ def fit(rows: DataFrame, key: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.select("text", "lang", (drawn / F.element_at(rate, F.col("lang"))).alias("u")).where("u < 1")
+    sample = stage(sample, "langid-sample")  # the texts are read twice; all rows only once
     counted = sample.where("u < 0.8").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not len(got):

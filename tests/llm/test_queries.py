@@ -1,0 +1,73 @@
+"""The corpus queries on the driver's smallest tables: against SQL where there is some, else against their contracts."""
+
+import os
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from emberlog.llm import queries as own
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+
+
+def rows(spark, name):
+    return own.QUERIES[name](spark, DATA).toPandas()
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{DATA}/{name}.parquet").toPandas()
+
+
+@pytest.mark.parametrize("name", sorted(own.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    df, want = own.QUERIES[name](spark, DATA), c.sql(own.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    at = [want.columns.index(x) for x in columns]
+    assert Counter(tuple(r[x] for x in columns) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_languages_of_held_out_documents(spark):
+    got = rows(spark, "op2_langid").merge(table(spark, "documents"), on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]])
+    assert len(got) == 200 and (got["held_out"] == held).all()
+    assert (got["lang_pred"] == got["lang"])[held].mean() > 0.95
+
+
+def test_quality_of_held_out_documents(spark):
+    got = rows(spark, "op4_quality")
+    assert len(got) == 200 and (got["predicted"] == (got["score"] >= 0.5)).all() and got["score"].between(0, 1).all()
+    held = got.merge(table(spark, "labels"), on="doc_id")
+    held = held[held["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.85
+
+
+def test_token_query_starts_where_the_last_document_ended(spark):
+    got = rows(spark, "op9_tokens").sort_values("doc_id")
+    assert (got["start"].to_numpy() == np.append(0, np.cumsum(got["n_tokens"])[:-1])).all()
+
+
+def test_pages_lose_their_frames(spark):
+    got = rows(spark, "op8_html").merge(table(spark, "pages"), on="page_id")
+    docs = {" ".join(t.split()) for t in table(spark, "documents")["text"]}
+    bodies = [" ".join(t.split("\n", 1)[-1].split()) for t in got["text"]]
+    assert np.mean([b in docs for b in bodies]) > 0.95
+    assert (got["n_chars"] == got["text"].str.len()).all()
+
+
+def test_decontamination_finds_whole_items(spark):
+    found = set(map(tuple, rows(spark, "op1_decontam")[["doc_id", "item_id"]].to_numpy().tolist()))
+    flat = lambda t: " ".join(t.lower().split())
+    whole = {(d.doc_id, b.item_id) for b in table(spark, "benchmark").itertuples() for d in table(spark, "documents").itertuples() if flat(b.text) in flat(d.text)}
+    assert whole and whole <= found
+
+
+def test_neighbour_query_has_its_shape(spark):
+    got = rows(spark, "op7_neighbours")
+    assert set(got["query_id"]) == {i for i in table(spark, "embeddings")["vec_id"] if i % 100 == 0}
+    assert all(sorted(g["rank"]) == list(range(1, 11)) and g.sort_values("rank")["score"].is_monotonic_increasing for _, g in got.groupby("query_id"))
