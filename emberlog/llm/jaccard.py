@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import BLANK, mix, odd_multipliers, pieces, runs, stage, text_of, unstage, utf8
+from emberlog.llm.common import BLANK, CHUNK_BYTES, mix, odd_multipliers, pieces, runs, stage, text_of, unstage, utf8
 
 WORDS = 5
 PERCENT = 80
@@ -88,9 +88,9 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
 
 def sets(raw: np.ndarray, offsets: np.ndarray):
     """The shingle set of each text, one after the other."""
-    for lo, hi in runs(offsets, 1 << 20):
+    for lo, hi in runs(offsets, CHUNK_BYTES):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        if hi - lo == 1 and len(part) > 1 << 21:  # a very long text: words in pieces
+        if hi - lo == 1 and len(part) > 4 * CHUNK_BYTES:  # a very long text: words in pieces
             yield shingle_hashes(np.concatenate([word_hashes(p, a)[0] for p, a, _ in pieces(part, at)]))
             continue
         words, own = word_hashes(part, at)
