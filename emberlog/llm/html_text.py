@@ -61,7 +61,8 @@ SPACE = re.compile(r"\s+")
 NOISE_ZONE, OPEN_ZONE, MAIN_ZONE = 0, 1, 2
 
 
-def says_noise(tag: str, attributes: str) -> bool:
+def says_noise(tag: str, attributes: str, inside: int) -> bool:
+    """Do class, id, role or style mark the element?  A header inside the article holds its title."""
     if not attributes or tag in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -75,7 +76,7 @@ def says_noise(tag: str, attributes: str) -> bool:
         elif name == "style":
             if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return True
-        elif any(w.lower() in NOISE_WORDS for w in NAMES.findall(value)) and tag not in MAIN:
+        elif tag not in MAIN and any((w := x.lower()) in NOISE_WORDS and not (inside and w == "header") for x in NAMES.findall(value)):
             return True
     return False
 
@@ -142,7 +143,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             parts.append(" ")
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        a, b = tag in NOISE and not (tag == "header" and mains) or says_noise(tag, m[3]), tag in MAIN or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[3]))
+        a, b = tag in NOISE and not (tag == "header" and mains) or says_noise(tag, m[3], mains), tag in MAIN or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[3]))
         stack.append((tag, a, b))
         noise += a
         mains += b

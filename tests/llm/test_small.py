@@ -398,6 +398,7 @@ PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><bod
         ("<p>plain words only</p>text after", "plain words only\ntext after"),
         ("no tags at all &amp stays & open <b", "no tags at all & stays & open"),
         ("<article><p>cut in the mid", "cut in the mid"),
+        ("<div class='site-header'>no</div><article><div class='entry-header'><h1>Yes</h1></div><p hidden>no</p><p id='cookieNotice'>no</p><p>body</p></article>", "Yes\nbody"),
         ("<article>" + "<p>long</p>" * 20_000 + "</article>", "\n".join(["long"] * 20_000)),
         ("<article><p>" + "deep <div>" * 3000 + "</article>", "\n".join(["deep"] * 3000)),
     ],
