@@ -164,7 +164,9 @@ class Emberlog:
 
     def compact_now(self) -> str:
         self.flush()
-        return self.store.compact(force=True)
+        while (did := self.store.compact(force=True)) == "more":
+            pass
+        return did
 
     def retain_now(self) -> str | tuple[str, int]:
         return self.store.retain()
@@ -205,7 +207,7 @@ class Upkeep(threading.Thread):
             try:
                 self.log.flush()
                 did = [self.log.store.compact(), self.log.store.merge(), self.log.store.retain()]
-                wait = self.interval if "ok" in did else min(wait * 2, self.log.config.idle_backoff_max)
+                wait = 0.0 if "more" in did else self.interval if "ok" in did else min(max(wait, self.interval) * 2, self.log.config.idle_backoff_max)
             except Exception as failed:
                 telemetry.event("compaction.error", {}, {"reason": repr(failed)})
 

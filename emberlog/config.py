@@ -19,6 +19,7 @@ class Config:
     compaction_threshold: int = 500
     compaction_max_raw_age: int = 60
     compaction_rows: int = 2000
+    compaction_pass_rows: int = 50_000_000
     merge_target_rows: int = 2000
     merge_min_blocks: int = 4
     idle_backoff_max: float = 300.0

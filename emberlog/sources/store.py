@@ -265,16 +265,21 @@ class LogStore:
     # maintenance
 
     def compact(self, force: bool = False) -> str:
-        """Rewrites raw blocks into sorted, compressed ones: ``ok``, or ``noop`` if there is too little and all is fresh."""
+        """Rewrites raw blocks into sorted, compressed ones: ``ok``, or ``noop`` if there is too little and all is fresh.
+
+        One pass takes the oldest blocks up to a number of entries; ``more`` says that others wait.
+        """
         raw = self.catalogue().where("format = 'raw'")
         said = raw.agg(F.coalesce(F.sum("entry_count"), F.lit(0)).alias("n"), F.min("written_us").alias("t"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("b")).first()
         old = said["t"] is not None and self.clock() - said["t"] >= self.config.compaction_max_raw_age * 1_000_000
         if not said["n"] or not (force or old or said["n"] >= self.config.compaction_threshold):
             return "noop"
+        part = cat.within_budget(raw, self.config.compaction_pass_rows)
+        took = part.agg(F.sum("entry_count").alias("n"), F.sum("byte_size").alias("b")).first()
         with telemetry.span("compaction.stop") as found:
-            self._replace(raw, self._rows(raw).select(*ENTRY.names), said["b"])
-            found |= {"entry_count": said["n"], "byte_size": said["b"]}
-        return "ok"
+            self._replace(part, self._rows(part).select(*ENTRY.names), took["b"])
+            found |= {"entry_count": took["n"], "byte_size": took["b"]}
+        return "ok" if took["n"] == said["n"] else "more"
 
     def _replace(self, old: DataFrame, entries: DataFrame, size: int, batches: int | None = None) -> None:
         old = self.spark.createDataFrame(old.collect(), BLOCK)  # a row per block of this pass; the files go when the new ones are in

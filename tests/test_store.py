@@ -304,3 +304,12 @@ def test_pressure_lowers_the_codec_level(log, spark):
     log.flush()
     assert log.store.codec_level() == 9
     assert LogStore(spark, log.store.path, Config(raw_debt_limit=10)).codec_level() == 3
+
+
+def test_compaction_goes_in_bounded_passes(log, spark):
+    for k in range(4):
+        log.ingest(records(10, 10 * k))
+        log.flush()
+    store = LogStore(spark, log.store.path, Config(compaction_pass_rows=15, retention_max_age=None))
+    assert store.compact(force=True) == "more" and store.stats().first()["raw_entries"] == 20
+    assert store.compact(force=True) == "ok" and store.stats().first()["total_entries"] == 40
