@@ -8,7 +8,7 @@ else, and removing one moves only its rows.
 Nulls and ties: a null key hashes as the text ``\\N``; rows with one key share a shard; draws that
 tie go to the shard listed first.  A null text has zero bytes.  Empty tables give no rows.
 Rows that repeat get slots of their own.  Other columns of the input are left out of
-``shard_plan`` and kept by ``write_shards``.
+``shard_plan`` and kept by ``write_shards``, where a column named ``shard`` is replaced and names beginning with ``_el_`` are reserved.
 """
 
 from __future__ import annotations
@@ -84,5 +84,5 @@ def shard_plan(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: s
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, key: str = "doc_id", weights: Sequence[float] | None = None, files_per_shard: int = 1) -> None:
     """The rows themselves, as Parquet folders ``shard=N``; files_per_shard splits large shards."""
     shards = list(enumerate(weights or [1.0] * n_shards))
-    out = docs.withColumn("shard", rendezvous(F.col(key), shards)).withColumn("_part", F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard)))
-    out.repartition(n_shards * files_per_shard, "shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    out = docs.withColumn("shard", rendezvous(F.col(key), shards)).withColumn("_el_part", F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard)))
+    out.repartition(n_shards * files_per_shard, "shard", "_el_part").drop("_el_part").write.partitionBy("shard").parquet(path)
