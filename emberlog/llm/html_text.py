@@ -155,7 +155,7 @@ _M = odd_multipliers(8, RUN)
 
 
 def _words(found: list[str]) -> np.ndarray:
-    """Hashes of the words of all found texts, a separator of its own after each text left out."""
+    """Hashes of the words of all found texts, one text after the other."""
     return np.array([xxhash.xxh3_64_intdigest(w) for t in found for w in t.split()], np.uint64)
 
 
