@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import mix, odd_multipliers, stage, text_of
+from emberlog.llm.common import if_small, mix, odd_multipliers, stage, text_of
 
 RUN = 8
 PAGES = 3
 #: Words of one segment of a host, about.
 SEGMENT_WORDS = 2_000_000
+#: Hosts up to which their names and sizes are broadcast (some 10 MB).
+HOSTS_BROADCAST = 200_000
 #: Their content is not text.
 RAW = frozenset("script style noscript template svg iframe object textarea select canvas title math audio video".split())
 NOISE = frozenset("nav header footer aside form button menu dialog head".split())
@@ -253,10 +255,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     d = d.mapInArrow(_split, f"_id {kind}, _url {ukind}, _host string, _page long, _main boolean, _text string, _blocks array<struct<zone:int,text:string>>, _stream binary, _words long")
     d = stage(d.withColumn("_row", F.monotonically_increasing_id()), "pages")
     undecided = d.where(~F.col("_main") & (F.size("_blocks") > 0))
-    hosts = undecided.select("_host").distinct()
-    streams = d.where(F.col("_words") >= RUN).select("_host", "_page", "_stream", "_words").join(hosts, "_host", "left_semi")
+    hosts = stage(undecided.select("_host").distinct(), "page-hosts")
+    n = hosts.count()
+    streams = d.where(F.col("_words") >= RUN).select("_host", "_page", "_stream", "_words").join(if_small(hosts, n, HOSTS_BROADCAST), "_host", "left_semi")
     size = streams.groupBy("_host").agg((F.sum("_words") / SEGMENT_WORDS).cast("int").alias("_more"))
-    streams = streams.join(size, "_host").withColumn("_segment", F.pmod("_page", F.col("_more") + 1))
+    streams = streams.join(if_small(size, n, HOSTS_BROADCAST), "_host").withColumn("_segment", F.pmod("_page", F.col("_more") + 1))
+    streams = streams.repartition("_host", "_segment")  # else a host's segments would share the join's task
 
     def runs(pdf):
         import pandas as pd
