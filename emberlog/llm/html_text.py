@@ -5,13 +5,13 @@ A page is split into blocks of text, each with a zone:
 * ``main``: inside an article or main element.  Kept whole, also where pages share passages.
 * ``noise``: in an element that never holds the article (nav, header, footer, aside, forms, scripts, ...), or
   one whose class, id or role says so.  Dropped.
-* ``open``: anywhere else.  If a page has a main zone, its open blocks stand outside the article and are dropped.
-  Otherwise they are the candidates for the article, and the host decides.
+* ``open``: anywhere else.  The candidates, on pages with a main zone too: the host decides.
 
-The streams of words outside main zones are concatenated host by host, and a suffix array (by
+The streams of words outside main zones of all pages are concatenated host by host, and a suffix array (by
 prefix doubling, as deep as the run length ``RUN``) finds the runs of RUN or more words that recur on at least
 ``PAGES`` distinct pages of the host.  In candidate blocks, words that such runs cover are boilerplate;
-the unique runs between them stay.  Hosts of many pages are dealt into segments of bounded size; every segment's
+the unique runs between them stay.  Beside a main zone, a candidate stays only if RUN unique words or more are left of it and the
+host has PAGES distinct pages or more: of shorter blocks and smaller hosts the runs say nothing, and the page's own mark holds.  Hosts of many pages are dealt into segments of bounded size; every segment's
 runs are counted by hash and the counts of a host's segments are added, so that segments change no result.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and
@@ -40,6 +40,8 @@ PAGES = 3
 SEGMENT_WORDS = 2_000_000
 #: Hosts up to which their names and sizes are broadcast (some 10 MB).
 HOSTS_BROADCAST = 200_000
+#: Boilerplate runs up to which they are broadcast (some 20 MB).
+RUNS_BROADCAST = 200_000
 #: Their content is not text.
 RAW = frozenset("script style noscript template svg iframe object textarea select canvas title math audio video".split())
 NOISE = frozenset("nav header footer aside form button menu dialog head".split())
@@ -217,21 +219,21 @@ def _split(batches):
     kind = pa.list_(pa.struct([("zone", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         found = [blocks(x) for x in batch.column("_html").to_pylist()]
-        main = [any(z == MAIN_ZONE for z, _ in b) for b in found]
-        keep = [[t for z, t in b if z == MAIN_ZONE] if m else [] for b, m in zip(found, main, strict=True)]
-        text = ["\n".join(k) for k in keep]
-        rest = [[{"zone": z, "text": t} for z, t in b if z != MAIN_ZONE] for b in found]
+        asks = [any(z == OPEN_ZONE for z, _ in b) for b in found]
+        text = ["" if a else "\n".join(t for z, t in b if z == MAIN_ZONE) for a, b in zip(asks, found, strict=True)]
+        rest = [[{"zone": z, "text": t} for z, t in b] if a else [] for a, b in zip(asks, found, strict=True)]
         streams = [_words([t for z, t in b if z != MAIN_ZONE]) for b in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_url"), batch.column("_host"), batch.column("_page"), pa.array(main), pa.array(text, pa.string()), pa.array([[] if m else r for m, r in zip(main, rest, strict=True)], kind), pa.array([s.tobytes() for s in streams], pa.binary()), pa.array([len(s) for s in streams], pa.int64())],
-            names=["_id", "_url", "_host", "_page", "_main", "_text", "_blocks", "_stream", "_words"],
+            [batch.column("_id"), batch.column("_url"), batch.column("_host"), batch.column("_page"), pa.array(text, pa.string()), pa.array(rest, kind), pa.array([s.tobytes() for s in streams], pa.binary()), pa.array([len(s) for s in streams], pa.int64())],
+            names=["_id", "_url", "_host", "_page", "_text", "_blocks", "_stream", "_words"],
         )
 
 
-def uncovered(found: list[dict], boiler: set[int]) -> str:
-    """The text of candidate blocks without words that boilerplate runs cover."""
-    lists = [b["text"].split() for b in found]
-    words = _words([b["text"] for b in found])
+def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
+    """The text of main blocks, and of candidate blocks without words that boilerplate runs cover; judged: has the host enough pages for runs?"""
+    main = any(b["zone"] == MAIN_ZONE for b in found)
+    stream = [b["text"] for b in found if b["zone"] != MAIN_ZONE]
+    words = _words(stream)
     covered = np.zeros(len(words) + 1, np.int64)
     if boiler:
         for i in np.flatnonzero(np.isin(run_hashes(words), np.fromiter(boiler, np.uint64, len(boiler)))):
@@ -239,10 +241,14 @@ def uncovered(found: list[dict], boiler: set[int]) -> str:
             covered[min(i + RUN, len(words))] -= 1
     gone = np.cumsum(covered)[:-1] > 0
     out, at = [], 0
-    for b, own in zip(found, lists, strict=True):
+    for b in found:
+        if b["zone"] == MAIN_ZONE:
+            out.append(b["text"])
+            continue
+        own = b["text"].split()
         keep = [w for w, g in zip(own, gone[at : at + len(own)], strict=True) if not g]
         at += len(own)
-        if keep and b["zone"] != NOISE_ZONE:
+        if keep and b["zone"] == OPEN_ZONE and (not main or judged and len(keep) >= RUN):
             out.append(" ".join(keep))
     return "\n".join(out)
 
@@ -252,14 +258,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     d = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), host.alias("_host"), F.xxhash64(F.col(url), F.col(page)).alias("_page"), text_of(page).alias("_html"))
     kind, ukind = d.schema["_id"].dataType.simpleString(), d.schema["_url"].dataType.simpleString()
-    d = d.mapInArrow(_split, f"_id {kind}, _url {ukind}, _host string, _page long, _main boolean, _text string, _blocks array<struct<zone:int,text:string>>, _stream binary, _words long")
+    d = d.mapInArrow(_split, f"_id {kind}, _url {ukind}, _host string, _page long, _text string, _blocks array<struct<zone:int,text:string>>, _stream binary, _words long")
     d = stage(d.withColumn("_row", F.monotonically_increasing_id()), "pages")
-    undecided = d.where(~F.col("_main") & (F.size("_blocks") > 0))
-    hosts = stage(undecided.select("_host").distinct(), "page-hosts")
-    n = hosts.count()
-    streams = d.where(F.col("_words") >= RUN).select("_host", "_page", "_stream", "_words").join(if_small(hosts, n, HOSTS_BROADCAST), "_host", "left_semi")
-    size = streams.groupBy("_host").agg((F.sum("_words") / SEGMENT_WORDS).cast("int").alias("_more"))
-    streams = streams.join(if_small(size, n, HOSTS_BROADCAST), "_host").withColumn("_segment", F.pmod("_page", F.col("_more") + 1))
+    undecided = d.where(F.size("_blocks") > 0)
+    size = d.select("_host", "_page", "_words").distinct().groupBy("_host").agg((F.sum("_words") / SEGMENT_WORDS).cast("int").alias("_more"), F.count("*").alias("_pages"))
+    size = stage(size, "page-hosts")
+    n = size.count()
+    size = if_small(size, n, HOSTS_BROADCAST)
+    streams = d.where(F.col("_words") >= RUN).select("_host", "_page", "_stream").join(size, "_host").withColumn("_segment", F.pmod("_page", F.col("_more") + 1))
     streams = streams.repartition("_host", "_segment")  # else a host's segments would share the join's task
 
     def runs(pdf):
@@ -273,12 +279,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     counted = streams.groupBy("_host", "_segment").applyInPandas(runs, "_host string, _run long, _n long")
     boiler = stage(counted.groupBy("_host", "_run").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_pages).select("_host", "_run"), "page-runs")
+    boiler = if_small(boiler, boiler.count(), RUNS_BROADCAST)
 
     def own_runs(batches):
         for batch in batches:
             rows, found = [], []
             for r, blocks_ in zip(batch.column("_row").to_pylist(), batch.column("_blocks").to_pylist(), strict=True):
-                h = np.unique(run_hashes(_words([b["text"] for b in blocks_])))
+                h = np.unique(run_hashes(_words([b["text"] for b in blocks_ if b["zone"] != MAIN_ZONE])))
                 rows.append(np.full(len(h), r, np.int64))
                 found.append(h.view(np.int64))
             hosts_ = np.repeat(np.array(batch.column("_host").to_pylist(), object), [len(x) for x in rows])
@@ -288,9 +295,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     def finish(batches):
         for batch in batches:
-            text = [uncovered(b, {x & (1 << 64) - 1 for x in r or ()}) for b, r in zip(batch.column("_blocks").to_pylist(), batch.column("_runs").to_pylist(), strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("_blocks", "_runs", "_pages"))
+            text = [uncovered(b, {x & (1 << 64) - 1 for x in r or ()}, p >= min_pages) for b, r, p in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(text, pa.string())], names=["_id", "_url", "_text"])
 
-    decided = undecided.join(held, "_row", "left").select("_id", "_url", "_blocks", "_runs").mapInArrow(finish, f"_id {kind}, _url {ukind}, _text string")
-    out = d.where(F.col("_main") | (F.size("_blocks") == 0)).select("_id", "_url", "_text").unionByName(decided)
+    decided = undecided.join(size.select("_host", "_pages"), "_host").join(held, "_row", "left").select("_id", "_url", "_blocks", "_runs", "_pages").mapInArrow(finish, f"_id {kind}, _url {ukind}, _text string")
+    out = d.where(F.size("_blocks") == 0).select("_id", "_url", "_text").unionByName(decided)
     return out.select(F.col("_id").alias(key), F.col("_url").alias(url), F.col("_text").alias("text"))

@@ -426,6 +426,15 @@ def test_boilerplate_of_a_host_is_found_by_its_pages(spark, monkeypatch):
     assert run() == got
 
 
+def test_the_host_decides_unmarked_blocks_beside_an_article(spark):
+    boiler = "all rights are kept by the makers of this very site and its many owners"
+    lead = [" ".join(f"lead{i}x{j}" for j in range(10)) for i in range(5)]
+    page = lambda i: f"<div>{lead[i]}</div><div>{boiler}</div><div>short {i}</div><article><p>body {i}</p></article>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(4)] + [(4, "http://two.example/4", page(4))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{lead[i]}\nbody {i}" for i in range(4)} | {4: "body 4"}
+
+
 def test_repeated_runs_are_those_of_all_windows():
     rng = np.random.default_rng(6)
     pages = [rng.integers(0, 3, int(n)).astype(np.uint64) for n in rng.integers(0, 120, 15)]
