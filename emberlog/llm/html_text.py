@@ -3,8 +3,12 @@
 A page is split into blocks of text, each with a zone:
 
 * ``main``: inside an article or main element.  Kept whole, also where pages share passages.
-* ``noise``: in an element that never holds the article (nav, header, footer, aside, forms, scripts, ...), or
-  one whose class, id or role says so.  Dropped.
+* ``noise``: in an element that never holds the article (nav, header, footer, aside, scripts, ...), or
+  one that is hidden or whose role says so.  Dropped.
+* ``soft`` and ``form``: in an element of which a whole class or id is made of noise words, or in a form.  Dropped, but neither rules over an article or main inside it.
+  On a page without a main zone a form is a candidate if it holds most of the text, and soft blocks are if there is nothing else.
+* ``suspect`` and ``hint``: inside or outside a main zone, in an element of which a class or id holds a noise word beside others.  Suspect blocks
+  stay unless runs cover them wholly; hints are candidates on pages without a main zone.
 * ``open``: anywhere else.  The candidates, on pages with a main zone too: the host decides.
 
 The streams of words outside main zones of all pages are concatenated host by host, and a suffix array (by
@@ -43,8 +47,8 @@ HOSTS_BROADCAST = 200_000
 #: Boilerplate runs up to which they are broadcast (some 20 MB).
 RUNS_BROADCAST = 200_000
 #: Their content is not text.
-RAW = frozenset("script style noscript template svg iframe object textarea select canvas title math audio video".split())
-NOISE = frozenset("nav header footer aside form button menu dialog head".split())
+RAW = frozenset("script style noscript template svg iframe textarea select canvas title audio video".split())
+NOISE = frozenset("nav header footer aside button menu dialog head".split())
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer disqus footer header login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification pagination popup promo promoted promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
@@ -62,49 +66,60 @@ PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
-NOISE_ZONE, OPEN_ZONE, MAIN_ZONE = 0, 1, 2
+NOISE_ZONE, OPEN_ZONE, MAIN_ZONE, SUSPECT_ZONE, HINT_ZONE, SOFT_ZONE, FORM_ZONE = range(7)
 
 
-def says_noise(tag: str, attributes: str, inside: int) -> bool:
-    """Do class, id, role or style mark the element?  A header inside the article holds its title."""
+def says_noise(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Do role or style mark the element; is a class or id made of noise words; does one hold such a word?  A header inside the article holds its title."""
+    whole = part = False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, whole, part
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":
             if value.strip().lower() in NOISE_ROLES:
-                return True
+                return True, whole, part
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
-                return True
+                return True, whole, part
         elif name == "style":
             if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-                return True
-        elif tag not in MAIN and any((w := x.lower()) in NOISE_WORDS and not (inside and w == "header") for x in NAMES.findall(value)):
-            return True
-    return False
+                return True, whole, part
+        else:
+            for token in value.split():
+                said = [(w := x.lower()) in NOISE_WORDS and not (inside and w == "header") for x in NAMES.findall(token) if not x.isdigit()]
+                whole |= bool(said) and all(said)
+                part |= any(said)
+    return False, whole, part
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order, without empty ones."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts noise, starts main
-    noise = mains = 0
+    stack: list[tuple[str, tuple]] = []  # tag, what held outside it
+    noise = soft = form = hint = main = False
     at = 0
 
+    def zone() -> int:
+        if noise:
+            return NOISE_ZONE
+        if soft or form:
+            return SOFT_ZONE if soft else FORM_ZONE
+        if hint:
+            return SUSPECT_ZONE if main else HINT_ZONE
+        return MAIN_ZONE if main else OPEN_ZONE
+
     def close() -> None:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((NOISE_ZONE if noise else MAIN_ZONE if mains else OPEN_ZONE, text))
+                out.append((zone(), text))
 
     def pop() -> None:
-        nonlocal noise, mains
-        _, a, b = stack.pop()
-        noise -= a
-        mains -= b
+        nonlocal noise, soft, form, hint, main
+        _, (noise, soft, form, hint, main) = stack.pop()
 
     while True:
         m = PIECE.search(page, at)
@@ -122,7 +137,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[i + 1 :]):
+                    if tag not in BLOCK and any(t in BLOCK for t, _ in stack[i + 1 :]):
                         break  # an inline end tag doesn't close blocks
                     while len(stack) > i:
                         pop()
@@ -139,7 +154,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             close()
             if tag in CLOSES or tag in BOUND:
                 same = CLOSES.get(tag, ("p",))
-                while stack and (stack[-1][0] in same or stack[-1][0] not in BLOCK and any(t in same for t, _, _ in stack)):
+                while stack and (stack[-1][0] in same or stack[-1][0] not in BLOCK and any(t in same for t, _ in stack)):
                     if stack[-1][0] in BOUND:
                         break
                     pop()
@@ -147,10 +162,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
             parts.append(" ")
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        a, b = tag in NOISE and not (tag == "header" and mains) or says_noise(tag, m[3], mains), tag in MAIN or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?main\b""", m[3]))
-        stack.append((tag, a, b))
-        noise += a
-        mains += b
+        says, whole, part = says_noise(tag, m[3], main)
+        stack.append((tag, (noise, soft, form, hint, main)))
+        noise = noise or says or tag in NOISE and not (tag == "header" and main)
+        if tag in MAIN or "role" in m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3]):
+            soft, form, hint, main = False, False, False, True
+        else:
+            soft, form, hint = soft or whole, form or tag == "form", hint or part
     close()
     return out
 
@@ -215,11 +233,23 @@ def repeated_runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[place], np.add.reduceat(distinct.astype(np.int64), starts)
 
 
+def candidates(found: list[tuple[int, str]]) -> set[int]:
+    """The zones of the page that its host decides."""
+    words = [0] * 7
+    for z, t in found:
+        words[z] += len(t.split())
+    if words[MAIN_ZONE] or words[SUSPECT_ZONE]:
+        return {OPEN_ZONE, SUSPECT_ZONE}
+    if words[FORM_ZONE] > words[OPEN_ZONE] + words[HINT_ZONE]:
+        return {OPEN_ZONE, HINT_ZONE, FORM_ZONE}
+    return {OPEN_ZONE, HINT_ZONE} if words[OPEN_ZONE] + words[HINT_ZONE] else {SOFT_ZONE}
+
+
 def _split(batches):
     kind = pa.list_(pa.struct([("zone", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         found = [blocks(x) for x in batch.column("_html").to_pylist()]
-        asks = [any(z == OPEN_ZONE for z, _ in b) for b in found]
+        asks = [not c.isdisjoint(z for z, _ in b) for b, c in zip(found, map(candidates, found), strict=True)]
         text = ["" if a else "\n".join(t for z, t in b if z == MAIN_ZONE) for a, b in zip(asks, found, strict=True)]
         rest = [[{"zone": z, "text": t} for z, t in b] if a else [] for a, b in zip(asks, found, strict=True)]
         streams = [_words([t for z, t in b if z != MAIN_ZONE]) for b in found]
@@ -231,7 +261,8 @@ def _split(batches):
 
 def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
     """The text of main blocks, and of candidate blocks without words that boilerplate runs cover; judged: has the host enough pages for runs?"""
-    main = any(b["zone"] == MAIN_ZONE for b in found)
+    main = any(b["zone"] in (MAIN_ZONE, SUSPECT_ZONE) for b in found)
+    open_ = candidates([(b["zone"], b["text"]) for b in found])
     stream = [b["text"] for b in found if b["zone"] != MAIN_ZONE]
     words = _words(stream)
     covered = np.zeros(len(words) + 1, np.int64)
@@ -248,7 +279,9 @@ def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
         own = b["text"].split()
         keep = [w for w, g in zip(own, gone[at : at + len(own)], strict=True) if not g]
         at += len(own)
-        if keep and b["zone"] == OPEN_ZONE and (not main or judged and len(keep) >= RUN):
+        if keep and b["zone"] == SUSPECT_ZONE:
+            out.append(b["text"])
+        elif keep and b["zone"] in open_ and (not main or judged and len(keep) >= RUN):
             out.append(" ".join(keep))
     return "\n".join(out)
 

@@ -426,6 +426,23 @@ def test_boilerplate_of_a_host_is_found_by_its_pages(spark, monkeypatch):
     assert run() == got
 
 
+def test_wrappers_do_not_lose_the_article():
+    def text(page, boiler=()):
+        return html_text.uncovered([{"zone": z, "text": t} for z, t in html_text.blocks(page)], set(boiler), False)
+
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<div id='widget'>{}</div>", "<form action='x'>{}</form>", "<section class='sidebar'><form>{}</form></section>"):
+        for tag in ("article", "main"):
+            assert text(wrap.format(f"<{tag}><p>body</p></{tag}>")) == "body"
+        assert text(wrap.format("<p>plain body</p>")) == "plain body"
+    assert text("<article><p>a</p><section id='related-work'>b</section><math><mi>x</mi></math> <object data='f'>c</object><div class='related'>d</div></article>") == "a\nb\nx c"
+    assert text("<div class='sidebar'>links</div><p>body</p><form>mail</form>") == "body"
+    assert text("<aside><article>teaser</article></aside><article>body</article><form>more and more</form>") == "body"
+    share = "share this text with all of your many friends"
+    page = f"<article><p>a</p><div class='share-bar'>{share}</div></article>"
+    assert text(page) == f"a\n{share}"
+    assert text(page, html_text.run_hashes(html_text._words([share])).tolist()) == "a"  # the host confirms the mark
+
+
 def test_the_host_decides_unmarked_blocks_beside_an_article(spark):
     boiler = "all rights are kept by the makers of this very site and its many owners"
     lead = [" ".join(f"lead{i}x{j}" for j in range(10)) for i in range(5)]
