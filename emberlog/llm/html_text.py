@@ -13,16 +13,17 @@ A page is split into blocks of text, each with a zone:
 
 The streams of words outside main zones of all pages are concatenated host by host, and a suffix array (by
 prefix doubling, as deep as the run length ``RUN``) finds the runs of RUN or more words that recur on at least
-``PAGES`` distinct pages of the host.  In candidate blocks, words that such runs cover are boilerplate;
-the unique runs between them stay.  Beside a main zone, a candidate stays only if RUN unique words or more are left of it and the
-host has PAGES distinct pages or more: of shorter blocks and smaller hosts the runs say nothing, and the page's own mark holds.  Hosts of many pages are dealt into segments of bounded size; every segment's
+``PAGES`` distinct pages of the host and on one in ``ONE_IN`` of them.  A candidate block that such runs cover wholly is boilerplate, and so are
+``LONG`` words or more in a row that they cover inside one; all else stays.  Beside a main zone, a candidate stays only if RUN words or more are left of it and the
+host has PAGES distinct pages or more: of shorter blocks and smaller hosts the runs say nothing, and the page's own mark holds.
+
+Pages with equal texts are one page to the host, whatever their urls.  Hosts of many pages are dealt into segments of bounded size; every segment's
 runs are counted by hash and the counts of a host's segments are added, so that segments change no result.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and
 joined by line feeds.  ``br`` is white space.  Unclosed elements end with their parents or with the page.
 
-Defined cases: null or empty html gives an empty text; pages that repeat are separate rows but one page to the host if url and
-html agree; a null or odd url has the host ``''``; an element that ends the page in the middle of a tag is dropped from there.
+Defined cases: null or empty html gives an empty text; pages that repeat are separate rows; a null or odd url has the host ``''``; an element that ends the page in the middle of a tag is dropped from there.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ from emberlog.llm.common import if_small, mix, odd_multipliers, stage, text_of
 
 RUN = 8
 PAGES = 3
+ONE_IN = 20
+#: Covered words in a row that are cut out of a block of which other words stay.
+LONG = 12
 #: Words of one segment of a host, about.
 SEGMENT_WORDS = 2_000_000
 #: Hosts up to which their names and sizes are broadcast (some 10 MB).
@@ -253,14 +257,26 @@ def _split(batches):
         text = ["" if a else "\n".join(t for z, t in b if z == MAIN_ZONE) for a, b in zip(asks, found, strict=True)]
         rest = [[{"zone": z, "text": t} for z, t in b] if a else [] for a, b in zip(asks, found, strict=True)]
         streams = [_words([t for z, t in b if z != MAIN_ZONE]) for b in found]
+        page = np.array([xxhash.xxh3_64_intdigest("\n".join(f"{z} {t}" for z, t in b)) for b in found], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_url"), batch.column("_host"), batch.column("_page"), pa.array(text, pa.string()), pa.array(rest, kind), pa.array([s.tobytes() for s in streams], pa.binary()), pa.array([len(s) for s in streams], pa.int64())],
+            [batch.column("_id"), batch.column("_url"), batch.column("_host"), pa.array(page), pa.array(text, pa.string()), pa.array(rest, kind), pa.array([s.tobytes() for s in streams], pa.binary()), pa.array([len(s) for s in streams], pa.int64())],
             names=["_id", "_url", "_host", "_page", "_text", "_blocks", "_stream", "_words"],
         )
 
 
+def cut(gone: np.ndarray) -> np.ndarray:
+    """Which of a block's words go, of those that runs cover: all if all are, else LONG or more in a row."""
+    if gone.all():
+        return gone
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out = np.zeros(len(gone), bool)
+    for a, b in edges.reshape(-1, 2):
+        out[a:b] = b - a >= LONG
+    return out
+
+
 def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
-    """The text of main blocks, and of candidate blocks without words that boilerplate runs cover; judged: has the host enough pages for runs?"""
+    """The text of main blocks, and of candidate blocks without boilerplate; judged: has the host enough pages for runs?"""
     main = any(b["zone"] in (MAIN_ZONE, SUSPECT_ZONE) for b in found)
     open_ = candidates([(b["zone"], b["text"]) for b in found])
     stream = [b["text"] for b in found if b["zone"] != MAIN_ZONE]
@@ -277,7 +293,7 @@ def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
             out.append(b["text"])
             continue
         own = b["text"].split()
-        keep = [w for w, g in zip(own, gone[at : at + len(own)], strict=True) if not g]
+        keep = [w for w, g in zip(own, cut(gone[at : at + len(own)]), strict=True) if not g]
         at += len(own)
         if keep and b["zone"] == SUSPECT_ZONE:
             out.append(b["text"])
@@ -289,12 +305,13 @@ def uncovered(found: list[dict], boiler: set[int], judged: bool) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = PAGES) -> DataFrame:
     """key, url, text: one row for each page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    d = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), host.alias("_host"), F.xxhash64(F.col(url), F.col(page)).alias("_page"), text_of(page).alias("_html"))
+    d = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), host.alias("_host"), text_of(page).alias("_html"))
     kind, ukind = d.schema["_id"].dataType.simpleString(), d.schema["_url"].dataType.simpleString()
     d = d.mapInArrow(_split, f"_id {kind}, _url {ukind}, _host string, _page long, _text string, _blocks array<struct<zone:int,text:string>>, _stream binary, _words long")
     d = stage(d.withColumn("_row", F.monotonically_increasing_id()), "pages")
     undecided = d.where(F.size("_blocks") > 0)
     size = d.select("_host", "_page", "_words").distinct().groupBy("_host").agg((F.sum("_words") / SEGMENT_WORDS).cast("int").alias("_more"), F.count("*").alias("_pages"))
+    size = size.withColumn("_least", F.greatest(F.lit(min_pages), F.ceil(F.col("_pages") / ONE_IN)))
     size = stage(size, "page-hosts")
     n = size.count()
     size = if_small(size, n, HOSTS_BROADCAST)
@@ -305,13 +322,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         import pandas as pd
 
         own = pdf.drop_duplicates("_page")
+        least = pdf["_least"].iloc[0]
         h, n = repeated_runs([np.frombuffer(s, np.uint64) for s in own["_stream"]])
         if pdf["_more"].iloc[0] == 0:
-            h, n = h[n >= min_pages], n[n >= min_pages]
-        return pd.DataFrame({"_host": own["_host"].iloc[0], "_run": h.view(np.int64), "_n": n})
+            h, n = h[n >= least], n[n >= least]
+        return pd.DataFrame({"_host": own["_host"].iloc[0], "_run": h.view(np.int64), "_n": n, "_least": least})
 
-    counted = streams.groupBy("_host", "_segment").applyInPandas(runs, "_host string, _run long, _n long")
-    boiler = stage(counted.groupBy("_host", "_run").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_pages).select("_host", "_run"), "page-runs")
+    counted = streams.groupBy("_host", "_segment").applyInPandas(runs, "_host string, _run long, _n long, _least long")
+    boiler = stage(counted.groupBy("_host", "_run").agg(F.sum("_n").alias("_n"), F.max("_least").alias("_least")).where("_n >= _least").select("_host", "_run"), "page-runs")
     boiler = if_small(boiler, boiler.count(), RUNS_BROADCAST)
 
     def own_runs(batches):

@@ -452,6 +452,21 @@ def test_the_host_decides_unmarked_blocks_beside_an_article(spark):
     assert got == {i: f"{lead[i]}\nbody {i}" for i in range(4)} | {4: "body 4"}
 
 
+def test_prose_that_few_pages_of_a_host_share_stays(spark):
+    said, boiler = "as everyone here has often heard and said before", "all rights are kept by the makers of this very site and its many owners"
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(81)]
+    page = lambda i: f"<div><p>{own[i]}{' ' + said if i < 4 or i >= 70 else ''} end{i}</p><p>{boiler}</p></div>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(70)] + [(100 + i, f"http://two.example/a?ref={i}", page(80)) for i in range(3)]
+    rows += [(200 + i, f"http://three.example/{i}", page(70 + i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own[i]}{' ' + said if i < 4 else ''} end{i}" for i in range(70))  # on 4 of 70 pages, and 9 words
+    assert all(got[100 + i] == f"{own[80]} {said} end80\n{boiler}" for i in range(3))  # one page under three urls
+    assert all(got[200 + i] == f"{own[70 + i]} {said} end{70 + i}" for i in range(8))  # too short a run to be cut out of a block
+    many = [(i, f"http://four.example/{i}", f"<p>{own[i]}</p>" + (f"<p>{boiler}</p>" if i < 3 else "")) for i in range(70)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(many, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own[i]}\n{boiler}" for i in range(3))  # on 3 of 70 pages only
+
+
 def test_repeated_runs_are_those_of_all_windows():
     rng = np.random.default_rng(6)
     pages = [rng.integers(0, 3, int(n)).astype(np.uint64) for n in rng.integers(0, 120, 15)]
