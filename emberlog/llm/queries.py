@@ -24,7 +24,7 @@ def mixture() -> dict:
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item whose passage it holds."""
-    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("n_equal").alias("n_equal"))
 
 

@@ -216,6 +216,18 @@ def test_passages_are_found_with_substitutions_and_clean_texts_left(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 5, 6, 7, 8, 9, 2]) and rows_text in {r["text"] for r in kept.collect()}
 
 
+def test_short_items_and_scripts_without_blanks_are_found(spark):
+    thai, han = "สวัสดีชาวโลกที่น่ารักทุกคน", "今天天气很好我们一起去公园散步吧"
+    items = [(1, "Quokka"), (2, "quiet quokkas"), (3, "one small step"), (4, "alpha beta gamma delta epsilon zeta"), (5, han), (6, thai), (7, "猫が好き"), (8, "seven words make up this exact item")]
+    docs = [
+        (1, "a QUOKKA sat"), (2, "the quiet, quokkas"), (3, "that is one small step"), (4, "one small stone"), (5, "x alpha beta gamma other epsilon zeta y"), (6, "alpha other gamma other epsilon zeta"), (7, f"他说{han}。然后"), (8, f"ก่อน{thai}"), (9, "私は猫が好きです"), (10, "今天天气不好"), (11, ""), (12, "seven words make up this exact item"), (13, "step"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (2, 2), (3, 3), (5, 4), (7, 5), (8, 6), (9, 7), (12, 8)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(d, b, shortest=1).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(d, b).collect()} == want - {(1, 1), (2, 2)}
+
+
 def test_decontamination_runs_no_python(spark):
     d = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "doc_id long, text string")
     plan = decontam.overlaps(d, d.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
