@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import if_small, stage, text_of
 
-#: Word offsets that each mask looks at.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 1, 2, 5, 6))
+#: Word offsets that each mask looks at, the short one last.  Whatever fifth of 7 to 13 words differs, one of them hits.
+MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 6), (0, 1, 2, 4, 6), (0, 1, 2, 3, 4))
 SPAN = 1 + max(max(m) for m in MASKS)
 WINDOW, SHARE = 13, 80
 #: Words that an item must have unless a caller says otherwise: one or two common words are in any document.
@@ -55,12 +55,13 @@ def masked(number: int, mask: tuple[int, ...]):
 
 
 def seeds(df: DataFrame, *ids: str) -> DataFrame:
-    """ids, seed, at: every mask's hash at every place of the array column _h."""
-    places = F.when(F.size("_h") >= SPAN, F.sequence(F.lit(0), F.size("_h") - SPAN)).otherwise(F.expr("cast(array() as array<int>)"))
-    df = df.select(*ids, "_h", places.alias("_p"))
-    each = [F.transform("_p", masked(m, mask)) for m, mask in enumerate(MASKS)]
+    """ids, seed, at: every mask's hash at every place of the array column _h, up to the mask's own end."""
+    places = lambda span: F.when(F.size("_h") >= SPAN, F.sequence(F.lit(0), F.size("_h") - span)).otherwise(F.expr("cast(array() as array<int>)"))
+    df = df.select(*ids, "_h", places(SPAN).alias("_p"), places(1 + MASKS[-1][-1]).alias("_last"))
+    each = [F.transform("_p" if mask is not MASKS[-1] else "_last", masked(m, mask)) for m, mask in enumerate(MASKS)]
     flat = df.select(*ids, F.size("_p").alias("_n"), F.posexplode(F.concat(*each)).alias("_i", "seed"))
-    return flat.select(*ids, "seed", (F.col("_i") % F.col("_n")).cast("int").alias("at"))
+    before = F.col("_n") * (len(MASKS) - 1)
+    return flat.select(*ids, "seed", F.when(F.col("_i") < before, F.col("_i") % F.col("_n")).otherwise(F.col("_i") - before).cast("int").alias("at"))
 
 
 def short_masks(n: int, share: int) -> list[tuple[int, ...]]:

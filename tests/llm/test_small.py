@@ -216,6 +216,20 @@ def test_passages_are_found_with_substitutions_and_clean_texts_left(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 5, 6, 7, 8, 9, 2]) and rows_text in {r["text"] for r in kept.collect()}
 
 
+def test_every_fifth_of_a_window_may_differ(spark):
+    from itertools import combinations
+
+    rows, items = [], []
+    for n in range(7, 14):
+        items.append((n, " ".join(f"w{n}x{i}" for i in range(n))))
+        for k in range(n // 5 + 1):
+            rows += [(len(rows) + i, " ".join("other" if j in c else w for j, w in enumerate(items[-1][1].split())), n) for i, c in enumerate(combinations(range(n), k))]
+    assert len(rows) == 8 + 9 + 10 + 56 + 67 + 79 + 92
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    found = decontam.overlaps(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, n) for i, _, n in rows}
+
+
 def test_short_items_and_scripts_without_blanks_are_found(spark):
     thai, han = "สวัสดีชาวโลกที่น่ารักทุกคน", "今天天气很好我们一起去公园散步吧"
     items = [(1, "Quokka"), (2, "quiet quokkas"), (3, "one small step"), (4, "alpha beta gamma delta epsilon zeta"), (5, han), (6, thai), (7, "猫が好き"), (8, "seven words make up this exact item")]
