@@ -50,10 +50,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the text) of every word, in order; A-Z count as a-z."""
+def word_sums(raw: np.ndarray, offsets: np.ndarray, had: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum, bytes, index of the text) of every word, in order; A-Z count as a-z.  The bytes before the first blank follow had others of their word."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     low = _LOWER[raw]
     inside = ~BLANK[raw]
     before = np.empty(len(raw), bool)
@@ -63,14 +64,43 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     before[own_start] = False
     start = np.flatnonzero(inside & ~before)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     at = np.flatnonzero(inside)
     number = np.cumsum(inside & ~before)[at] - 1
     within = at - start[number]
+    if had:
+        within[number == 0] += had
     h = _BYTE[low[at]] * (_PLACE[within & 63] + (within >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16))
     lead = np.searchsorted(at, start)
     size = np.diff(np.append(lead, len(at))).astype(np.uint64)
-    return mix(np.add.reduceat(h, lead) + size), np.searchsorted(offsets, start, "right") - 1
+    return np.add.reduceat(h, lead), size, np.searchsorted(offsets, start, "right") - 1
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the text) of every word, in order."""
+    h, size, own = word_sums(raw, offsets)
+    return mix(h + size), own
+
+
+def long_word_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hashes of one text's words, read in pieces; a word that crosses a piece's end goes on in the next."""
+    out, held, had = [], np.zeros(1, np.uint64), 0
+    for part, at, _ in pieces(raw, offsets):
+        if had and BLANK[part[0]]:
+            out.append(mix(held + np.uint64(had)))
+            had = 0
+        h, size, _ = word_sums(part, at, had)
+        if had:
+            h[:1] += held
+            size[:1] += np.uint64(had)
+        had = 0
+        if len(h) and not BLANK[part[-1]]:
+            held, had = h[-1:], int(size[-1])
+            h, size = h[:-1], size[:-1]
+        out.append(mix(h + size))
+    if had:
+        out.append(mix(held + np.uint64(had)))
+    return np.concatenate(out)
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -91,7 +121,7 @@ def sets(raw: np.ndarray, offsets: np.ndarray):
     for lo, hi in runs(offsets, CHUNK_BYTES):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if hi - lo == 1 and len(part) > 4 * CHUNK_BYTES:  # a very long text: words in pieces
-            yield shingle_hashes(np.concatenate([word_hashes(p, a)[0] for p, a, _ in pieces(part, at)]))
+            yield shingle_hashes(long_word_hashes(part, at))
             continue
         words, own = word_hashes(part, at)
         cuts = np.searchsorted(own, np.arange(hi - lo + 1))

@@ -196,6 +196,16 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert [x.tolist() for x in jaccard.sets(raw, at)] == whole * 3
 
 
+def test_a_long_run_without_blanks_is_one_word():
+    rng = np.random.default_rng(5)
+    run = rng.integers(97, 123, 2_000_000).astype(np.uint8)
+    assert len(next(jaccard.sets(run, np.array([0, len(run)])))) == 1
+    for text in (run, np.concatenate([np.frombuffer(b"a b ", np.uint8), run, np.frombuffer(b" c d e f", np.uint8)]), np.frombuffer("é中".encode() * 400_000 + b" x", np.uint8)):
+        at = np.array([0, len(text)])
+        assert next(jaccard.sets(text, at)).tolist() == jaccard.shingle_hashes(jaccard.word_hashes(text, at)[0]).tolist()
+        assert jaccard.long_word_hashes(text, at).tolist() == jaccard.word_hashes(text, at)[0].tolist()
+
+
 # decontamination
 
 
