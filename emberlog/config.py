@@ -18,14 +18,15 @@ class Config:
     retention_max_terms: int | None = None
     compaction_threshold: int = 500
     compaction_max_raw_age: int = 60
-    compaction_rows: int = 2000
+    compaction_rows: int = 1_000_000
     compaction_pass_rows: int = 50_000_000
-    merge_target_rows: int = 2000
+    merge_target_rows: int = 1_000_000
     merge_min_blocks: int = 4
     idle_backoff_max: float = 300.0
     idle_codec_level: int = 9
     pressure_codec_level: int = 3
     tail_seconds: int = 30
     tail_rows: int = 250_000
-    tail_lag_us: int = 5_000_000
+    vacuum_grace: float = 86_400.0
+    vacuum_seconds: float = 3600.0
     body_limit: int = 10 * 1024 * 1024

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def is_term(key: Column, value: Column) -> Column:
     return key.isin(*TERM_KEYS) & value.isNotNull() & short
 
 
+def term_like(key: str, value: str) -> bool:
+    """is_term of one value in this process."""
+    size = len(value.encode())
+    if key == "host":
+        return size <= HOST_BYTES
+    n, digits = len(value), len(re.findall("[0-9]", value))
+    separated = ("-" in value or "_" in value) and n >= IDENTIFIER_CHARS
+    return key in TERM_KEYS and size <= VALUE_BYTES and not (separated or re.fullmatch(f"[0-9a-fA-F]{{{IDENTIFIER_CHARS},}}", value) or digits >= max(n * 3 // 4, NUMERIC_DIGITS))
+
+
 def terms(level: Column, metadata: Column) -> Column:
     """All terms of an entry."""
     pairs = F.filter(F.coalesce(F.map_entries(metadata), F.array().cast("array<struct<key:string,value:string>>")), lambda e: is_term(e["key"], e["value"]))

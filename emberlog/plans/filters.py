@@ -36,7 +36,8 @@ def extract(df: DataFrame, name: str) -> Column:
     return {"_msg": F.col("message"), "_time": F.col("timestamp_us").cast("string"), "level": F.col("level")}.get(name, field_value(df, name))
 
 
-def _same(value: object) -> str:
+def as_text(value: object) -> str:
+    """A wanted metadata value as it would be stored; None asks for a missing one."""
     if value is None:
         return ""
     return str(value).lower() if isinstance(value, bool) else str(value)
@@ -67,7 +68,7 @@ class LogFilter:
         parts += [F.contains(F.lower("message"), F.lower(F.lit(x))) for x in self.messages]
         parts += [F.col("timestamp_us") >= x for x in self.since] + [F.col("timestamp_us") <= x for x in self.until]
         for key, value in self.metadata.items():
-            same = [self._equals(df, k, _same(value)) for k in ALIASES.get(key, (key,))]
+            same = [self._equals(df, k, as_text(value)) for k in ALIASES.get(key, (key,))]
             parts.append(reduce(Column.__or__, same))
         if self.nothing:
             parts.append(F.lit(False))

@@ -22,3 +22,18 @@ class EmberlogHandler(logging.Handler):
         meta = {k: str(v) for k, v in vars(record).items() if k not in OWN and not k.startswith("_")}
         level = LEVELS.get(record.levelno) or LEVELS[max((x for x in LEVELS if x <= record.levelno), default=logging.DEBUG)]
         self.log.ingest_one({"timestamp": int(record.created * 1_000_000), "level": level, "message": record.getMessage(), "metadata": {"logger": record.name} | meta})
+
+
+def install(log, logger: logging.Logger | None = None, level: int = logging.NOTSET) -> EmberlogHandler:
+    """Adds a handler for all levels to a logger (the root by default); one that is there for the same log is changed instead."""
+    logger = logger or logging.getLogger()
+    found = next((h for h in logger.handlers if isinstance(h, EmberlogHandler) and h.log is log), None)
+    if found is None:
+        found = EmberlogHandler(log, level)
+        logger.addHandler(found)
+    found.setLevel(level)
+    return found
+
+
+def uninstall(handler: EmberlogHandler, logger: logging.Logger | None = None) -> None:
+    (logger or logging.getLogger()).removeHandler(handler)

@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,16 @@ def from_records(spark: SparkSession, records: Iterable[dict], now: int | None =
         at = r.get("timestamp")
         meta = {str(k): _text(v) for k, v in (r.get("metadata") or {}).items()}
         rows.append((now if at is None else to_micros(at if isinstance(at, datetime) else int(at)), str(r.get("level", "info")), str(r.get("message", "")), meta))
-    return spark.createDataFrame(rows, ENTRY)
+    return local_entries(spark, rows)
+
+
+_ARROW = pa.schema([("timestamp_us", pa.int64()), ("level", pa.string()), ("message", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
+
+
+def local_entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Entries of this process as a DataFrame, by way of Arrow."""
+    columns = zip(*[(a, b, c, list((m or {}).items())) for a, b, c, m in rows], strict=True) if rows else [[], [], [], []]
+    return spark.createDataFrame(pa.table([pa.array(list(x), f.type) for x, f in zip(columns, _ARROW, strict=True)], _ARROW), ENTRY)
 
 
 def canonical_metadata(metadata: Column) -> Column:

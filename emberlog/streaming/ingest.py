@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,19 @@ SHARD_KEYS = ("request_id", "trace_id", "service")
 
 
 def shard_key() -> Column:
-    return F.coalesce(*[F.try_element_at("metadata", F.lit(k)) for k in SHARD_KEYS], F.col("message"))
+    return F.coalesce(*[F.try_element_at("metadata", F.lit(k)) for k in SHARD_KEYS], F.col("message"), F.lit(""))
 
 
 def shard(n: int) -> Column:
-    """Which of n shards an entry belongs to."""
-    return F.pmod(F.xxhash64(shard_key()), F.lit(n)).cast("int")
+    """Which of n shards an entry belongs to: 32 bits of its key's MD5, modulo n."""
+    return (F.conv(F.substring(F.md5(shard_key().cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
+
+
+def shard_of(entry: tuple, n: int) -> int:
+    """shard of one entry (timestamp_us, level, message, metadata) in this process."""
+    meta = entry[3] or {}
+    key = next((meta[k] for k in SHARD_KEYS if meta.get(k) is not None), entry[2]) or ""
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % n
 
 
 def lines(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -29,7 +37,7 @@ def lines(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame
 
 
 def into_store(store, landing: str, checkpoint: str, message_field: str = "_msg", time_field: str = "_time", seconds: float = 1.0, once: bool = False, on_batch=None) -> StreamingQuery:
-    """Starts the stream.  Each micro-batch appends one segment; malformed lines go to the store's ``malformed`` folder.
+    """Starts the stream.  Each micro-batch appends one segment; malformed lines are counted.
 
     The store skips a batch number it has, so a batch that is run again after a failure is stored once.  There is no watermark: late entries are kept.
     """
