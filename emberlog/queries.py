@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.api import Emberlog
+from emberlog.config import Config
 from emberlog.functions.terms import is_term
 from emberlog.functions.times import micros
 from emberlog.operators import catalogue as cat
@@ -14,8 +16,11 @@ from emberlog.operators import digest as dig
 from emberlog.operators import search
 from emberlog.plans import logsql
 from emberlog.plans.filters import ALIASES, LogFilter
-from emberlog.sources import ndjson
+from emberlog.session import scratch
+from emberlog.sources import ndjson, transfer
 from emberlog.sources.model import conversations_view, documents_view, events_view
+from emberlog.sources.store import LogStore
+from emberlog.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The driver's events span 2024-01-01 to 2024-01-30; these cut out parts of it.
@@ -332,34 +337,11 @@ def merge_groups(spark, sf_dir):
     return cat.merge_groups(cat.manifest(d), 120)
 
 
-@query(BLOCKS + " SELECT CASE WHEN block % 3 = 0 THEN 'raw' ELSE 'zstd' END AS format, count(*) AS blocks, CAST(sum(entry_count) AS BIGINT) AS entries, CAST(sum(byte_size) AS BIGINT) AS bytes, min(ts_min) AS oldest, max(ts_max) AS newest FROM manifest GROUP BY 1")
-def stats_by_format(spark, sf_dir):
-    m = manifest(spark, sf_dir).withColumn("format", F.when(F.col("block") % 3 == 0, "raw").otherwise("zstd"))
-    return cat.by_format(m)
-
-
-@query(LOGS + " SELECT level, count(*) AS n, count(DISTINCT event_id) AS ids FROM logs GROUP BY level")
-def tail_union_disk(spark, sf_dir):
-    """The table as disk up to a boundary and tail from it on: together every entry, once."""
-    d = logs(spark, sf_dir)
-    both = d.where(F.col("timestamp_us") < UNTIL).unionByName(d.where(F.col("timestamp_us") >= UNTIL))
-    return both.groupBy("level").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
-
-
 @query(LOGS + " SELECT count(*) AS violations FROM (SELECT timestamp_us < lag(timestamp_us) OVER (ORDER BY event_id) AS back FROM logs) WHERE back")
 def ts_ordered(spark, sf_dir):
     return cat.out_of_order(logs(spark, sf_dir), "event_id", 1000)
 
 
-@query(LOGS + " SELECT request_id, level, ordinal FROM (SELECT request_id, level, row_number() OVER (PARTITION BY level ORDER BY event_id) - 1 AS ordinal FROM logs) WHERE ordinal >= 40 AND ordinal < 60")
-def page_cursor(spark, sf_dir):
-    """A page of every level, by ordinal."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("level").orderBy("event_id")) - 1
-    return logs(spark, sf_dir).withColumn("ordinal", n.cast("long")).where("ordinal >= 40 and ordinal < 60").select(F.col("metadata.request_id").alias("request_id"), "level", "ordinal")
-
-
 @query("""WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'delete' ELSE 'put' END AS op FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM log) SELECT user_id, event_id, op FROM r WHERE rn = 1 AND op <> 'delete'""")
 def latest_state(spark, sf_dir):
     """Snapshot and log reduced to what is alive."""
@@ -382,13 +364,160 @@ def digest_quick(spark, sf_dir):
     return dig.quick(logs(spark, sf_dir), F.col("metadata.host"))
 
 
-@query(LOGS + " SELECT shard % 8 AS shard, CAST(sum(n) AS BIGINT) AS n FROM (SELECT ascii(substr(md5(request_id), 1, 1)) AS shard, count(*) AS n FROM logs GROUP BY 1) GROUP BY 1")
+# the same through a store
+
+
+class Held:
+    """Stores made of the events, one for each session and folder; kept until Python ends."""
+
+    made: dict[tuple, LogStore] = {}
+
+    @classmethod
+    def store(cls, spark: SparkSession, sf_dir: str, kind: str = "raw") -> LogStore:
+        """raw: four appended parts of the events.  zstd: the same, compacted to blocks of BLOCK entries and merged."""
+        key = (spark.sparkContext.applicationId, sf_dir, kind)
+        if key not in cls.made:
+            store = LogStore(spark, scratch(spark, f"store-{kind}"), Config(compaction_rows=BLOCK, merge_target_rows=4 * BLOCK, retention_max_age=None))
+            for part in range(4):
+                store.append(logs(spark, sf_dir).where(F.col("event_id") % 4 == part), batch=f"events#{part}")
+            if kind == "zstd":
+                while store.compact(force=True) == "more":
+                    pass
+                store.merge()
+            cls.made[key] = store
+        return cls.made[key]
+
+
+def shown(entries: DataFrame) -> DataFrame:
+    return entries.select(F.col("metadata.request_id").cast("long").alias("event_id"), "timestamp_us", "level", "message")
+
+
+@query(LOGS + " SELECT event_id, timestamp_us, level, message FROM logs")
+def store_entries(spark, sf_dir):
+    """Everything that was appended, from raw blocks; a batch that is appended again is not in twice."""
+    store = Held.store(spark, sf_dir)
+    store.append(logs(spark, sf_dir).where(F.col("event_id") % 4 == 3), batch="events#3")
+    return shown(store.entries())
+
+
+@query(LOGS + " SELECT event_id, timestamp_us, level, message FROM logs")
+def store_compacted(spark, sf_dir):
+    """Everything, after compaction and merging."""
+    return shown(Held.store(spark, sf_dir, "zstd").entries())
+
+
+@query(LOGS + f" SELECT event_id, timestamp_us, level, message FROM logs WHERE level = 'error' AND service = 'error' AND host = 'web-2' AND timestamp_us BETWEEN {FROM} AND {UNTIL}")
+def store_search(spark, sf_dir):
+    """Blocks are chosen by time, level and terms before any is read."""
+    return shown(Held.store(spark, sf_dir, "zstd").entries(LogFilter.of("error", None, FROM, UNTIL, {"service": "error", "host": "web-2"})))
+
+
+@query(LOGS + " SELECT event_id, timestamp_us, level, message FROM logs WHERE level = 'warning' ORDER BY timestamp_us DESC, message, event_id LIMIT 100")
+def store_newest(spark, sf_dir):
+    """A page that reads the newest blocks only."""
+    found = shown(Held.store(spark, sf_dir, "zstd").newest_first(LogFilter.of(level="warning"), 100))
+    return found.orderBy(F.desc("timestamp_us"), "message", "event_id").limit(100)
+
+
+_COUNTS = {
+    "all": (LogFilter(), "true"), "level": (LogFilter.of(level="error"), "level = 'error'"), "range": (LogFilter.of(since=FROM, until=UNTIL), f"timestamp_us BETWEEN {FROM} AND {UNTIL}"),
+    "level in range": (LogFilter.of("info", None, FROM, UNTIL), f"level = 'info' AND timestamp_us BETWEEN {FROM} AND {UNTIL}"), "service": (LogFilter.of(metadata={"service": "signup"}), "service = 'signup'"),
+    "host in range": (LogFilter.of(since=FROM, metadata={"host": "web-4"}), f"host = 'web-4' AND timestamp_us >= {FROM}"), "text": (LogFilter.of(message="user 77"), "contains(message, 'user 77')"), "nothing": (LogFilter.of(level="fatal"), "false"),
+}
+
+
+@query(LOGS + " " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS total FROM logs WHERE {v[1]}" for k, v in _COUNTS.items()))
+def store_counts(spark, sf_dir):
+    """Counts from the catalogue, and from the blocks at a range's ends."""
+    store = Held.store(spark, sf_dir, "zstd")
+    return spark.createDataFrame([(k, store.count(v[0])) for k, v in _COUNTS.items()], "name string, total long")
+
+
+@query(LOGS + " SELECT host AS value, count(*) AS hits FROM logs WHERE level = 'error' GROUP BY host")
+def store_field_values(spark, sf_dir):
+    log = Emberlog(spark, Held.store(spark, sf_dir).path)
+    return spark.createDataFrame([(r["value"], r["hits"]) for r in log.field_values("host", level="error")], "value string, hits long")
+
+
+@query(LOGS + " SELECT count(*) AS total_entries, min(timestamp_us) AS oldest_timestamp, max(timestamp_us) AS newest_timestamp, count(*) AS raw_entries, CAST(0 AS BIGINT) AS compressed_entries FROM logs")
+def store_stats(spark, sf_dir):
+    return Held.store(spark, sf_dir).stats().select("total_entries", "oldest_timestamp", "newest_timestamp", "raw_entries", "compressed_entries")
+
+
+@query(LOGS + " SELECT 'zstd' AS format, count(*) AS entries, min(timestamp_us) AS oldest, max(timestamp_us) AS newest FROM logs")
+def stats_by_format(spark, sf_dir):
+    """Of a store after compaction."""
+    return cat.by_format(Held.store(spark, sf_dir, "zstd").catalogue()).select("format", "entries", "oldest", "newest")
+
+
+@query(LOGS + " SELECT term, count(*) AS entry_count FROM (SELECT 'level:' || level AS term FROM logs UNION ALL SELECT 'service:' || service FROM logs UNION ALL SELECT 'host:' || host FROM logs) GROUP BY term")
+def store_postings(spark, sf_dir):
+    """The stored terms of all blocks, added up."""
+    return Held.store(spark, sf_dir, "zstd").postings().groupBy("term").agg(F.sum("entry_count").alias("entry_count"))
+
+
+@query(LOGS + f", r AS (SELECT *, row_number() OVER (ORDER BY timestamp_us, event_id) AS rn FROM logs), b AS (SELECT (rn - 1) // 1000 AS b, max(timestamp_us) AS last FROM r GROUP BY 1) SELECT event_id, timestamp_us, level, message FROM r WHERE (rn - 1) // 1000 IN (SELECT b FROM b WHERE last >= {FROM})")
+def store_retention(spark, sf_dir):
+    """Blocks of 1000 entries whose entries are all too old go; one that straddles the time stays whole."""
+    store = LogStore(spark, scratch(spark, "store-retention"), Config(compaction_rows=1000))
+    d = cat.blocks(logs(spark, sf_dir), 1000, "timestamp_us", "event_id")
+    store.append(d.repartitionByRange(10_000, "block").sortWithinPartitions("block"), rebalance=False)
+    store.delete_before(FROM)
+    return shown(store.entries())
+
+
+@query(LOGS + " SELECT level, count(*) AS n, count(DISTINCT event_id) AS ids FROM logs GROUP BY level")
+def tail_union_disk(spark, sf_dir):
+    """A log with most entries in its store and the last two hours' in its tail: together every entry, once."""
+    d = logs(spark, sf_dir)
+    last = d.agg(F.max("timestamp_us")).first()[0] - 7_200_000_000
+    log = Emberlog(spark, scratch(spark, "store-tail"), Config(flush_rows=10**9, soft_watermark=10**9, raw_debt_limit=10**15))
+    log.append(d.where(F.col("timestamp_us") < last))
+    log.ingest({"timestamp": r["timestamp_us"], "level": r["level"], "message": r["message"], "metadata": r["metadata"], "_exact": True} for r in d.where(F.col("timestamp_us") >= last).toLocalIterator())
+    return log.entries().groupBy("level").agg(F.count("*").alias("n"), F.count_distinct("metadata.request_id").alias("ids"))
+
+
+@query(LOGS + " SELECT event_id, ordinal FROM (SELECT event_id, row_number() OVER (ORDER BY timestamp_us, event_id) - 1 AS ordinal FROM logs) WHERE ordinal BETWEEN 100 AND 399")
+def page_cursor(spark, sf_dir):
+    """Three pages of 100 behind the first page's cursor."""
+    from itertools import islice
+
+    store = LogStore(spark, scratch(spark, "store-pages"))
+    store.append(logs(spark, sf_dir).coalesce(1).sortWithinPartitions("timestamp_us", "event_id"), rebalance=False)
+    block, ordinal, _ = next(store.pages(100))[-1]
+    rows = [(int(e["metadata"]["request_id"]), i) for page in islice(store.pages(100, (block, ordinal)), 3) for _, i, e in page]
+    return spark.createDataFrame(rows, "event_id long, ordinal long")
+
+
+@query(LOGS + " SELECT ('0x' || substr(md5(request_id), 1, 8))::BIGINT % 8 AS shard, count(*) AS n FROM logs GROUP BY 1")
 def ingest_shards(spark, sf_dir):
-    """Entries dealt among ingest shards by their request id."""
-    from emberlog.streaming.ingest import shard_key
+    """Entries by the queue that they wait in."""
+    return logs(spark, sf_dir).groupBy(ingest.shard(8).cast("long").alias("shard")).agg(F.count("*").alias("n"))
+
 
-    key = F.ascii(F.substring(F.md5(shard_key().cast("binary")), 1, 1)) % 8
-    return logs(spark, sf_dir).groupBy(key.alias("shard")).agg(F.count("*").alias("n"))
+@query(LOGS + " SELECT level, count(*) AS n, min(timestamp_us) AS oldest FROM logs GROUP BY level")
+def store_copy(spark, sf_dir):
+    """A store that was copied into another, which a digest confirms, and backed up from there."""
+    source, target = Held.store(spark, sf_dir), LogStore(spark, scratch(spark, "store-copy"))
+    transfer.copy(source, target)
+    if not transfer.same(source, target):
+        raise ValueError("the copy differs")
+    path = scratch(spark, "store-backup")
+    target.backup(path)
+    return LogStore(spark, path).entries().groupBy("level").agg(F.count("*").alias("n"), F.min("timestamp_us").alias("oldest"))
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    """NDJSON files as a stream into a store, run twice over the same files; every tenth line is cut off."""
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("event_type").alias("_msg"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("_time"), F.col("event_type").alias("level"), F.col("event_id").alias("id")))
+    home = scratch(spark, "stream")
+    e.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(f"{home}/landing")
+    store = LogStore(spark, f"{home}/store")
+    for _ in range(2):
+        ingest.into_store(store, f"{home}/landing", f"{home}/checkpoint", once=True).awaitTermination()
+    return store.entries().groupBy("level").agg(F.count("*").alias("n"), F.sum(F.col("metadata.id").cast("long")).alias("ids"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
