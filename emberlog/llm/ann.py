@@ -2,8 +2,9 @@
 
 Vectors are centred, scaled to length one and rotated by a seeded random orthogonal matrix; the signs
 of the rotated coordinates are packed into bits, beside the distance to the centre and one
-correction scalar, the inner product of the code with its vector.  For a query, packed bits and scalars give an
-estimate of each inner product with an error bound.  A vector is reranked by its exact
+correction scalar, the inner product of the code with its vector.  A query's rotated coordinates are rounded to
+PLANES bits each; the inner product with a code is then counted on packed words, bit plane by bit plane.  With
+the scalars that gives an estimate of each inner product and an error bound, rounding included.  A vector is reranked by its exact
 distance if the bound leaves it a chance to be among the k nearest of its block; so
 all ties and all near vectors are compared in double precision.
 
@@ -12,7 +13,8 @@ against all rows; each task keeps k rows for a query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part;
 vectors of different lengths are not compared; ties go to the smaller id, then to the row read first;
-a query whose id repeats is searched once for each row and gives rows for each.
+a query whose id repeats is searched once for each row and gives rows for each; other rows of the query's
+id are candidates, its own row alone is not.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ QUERY_BLOCK_BYTES = 16 << 20
 CELLS = 4_000_000
 #: Standard deviations of the estimate's error that the bound allows for.
 EPSILON = 4.0
+#: Bits of each coordinate of a query.
+PLANES = 6
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -47,20 +51,40 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     return np.packbits(y > 0, axis=1), far, np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])
 
 
+def words(codes: np.ndarray) -> np.ndarray:
+    """Packed bytes as packed 64-bit words, filled up with zeros."""
+    full = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    full[:, : codes.shape[1]] = codes
+    return full.view(np.uint64)
+
+
 def bounds(codes: np.ndarray, far: np.ndarray, fit: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the squared distances, rows by queries."""
     dim = len(centre)
     d = queries - centre
     qfar = np.sqrt((d * d).sum(axis=1))
-    q = (d @ turn / np.maximum(qfar, 1e-300)[:, None]).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    dot = signs @ q.T / np.sqrt(dim)
-    fit = np.maximum(fit, 1e-9)
-    est = dot / fit[:, None]
-    wide = epsilon * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / max(dim - 1, 1)) + 1e-5
+    q = d @ turn / np.maximum(qfar, 1e-300)[:, None]
+    least = q.min(axis=1)
+    step = np.maximum((q.max(axis=1) - least) / ((1 << PLANES) - 1), 1e-12)
+    level = np.rint((q - least[:, None]) / step[:, None]).astype(np.uint8)
+    off = np.abs(q - (least[:, None] + step[:, None] * level)).sum(axis=1) / np.sqrt(dim)  # the most that rounding changes
+    packed = words(codes)
+    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+    planes = [words(np.packbits((level >> b) & 1, axis=1)) for b in range(PLANES)]
+    inner = np.zeros((len(codes), len(queries)), np.float32)
+    for w in range(packed.shape[1]):
+        own = packed[:, w, None]
+        for b, plane in enumerate(planes):
+            inner += np.bitwise_count(own & plane[None, :, w]).astype(np.float32) * np.float32(1 << b)
+    # signs are 2 bit - 1, coordinates least + step * level
+    total = level.sum(axis=1, dtype=np.int64)
+    dot = (2 * (step * inner + least * ones[:, None]) - (step * total + least * dim)) / np.sqrt(dim)
+    fit = np.maximum(fit, 1e-9)[:, None]
+    est = dot / fit
+    wide = epsilon * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / max(dim - 1, 1)) + 1e-5 + off / fit
     both = 2 * far[:, None] * qfar[None, :]
     base = far[:, None] ** 2 + qfar[None, :] ** 2
-    return base - both * (est + wide[:, None]), base - both * (est - wide[:, None])
+    return base - both * (est + wide), base - both * (est - wide)
 
 
 def vectors(array: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -81,16 +105,17 @@ def vectors(array: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """(index, centres).  index: id, dim, vec (float64 bytes), code, far, fit; one row per vector that takes part."""
+    """(index, centres).  index: id, row (its number in the index), dim, vec (float64 bytes), code, far, fit; one row per vector that takes part."""
 
     def clean(batches):
         for batch in batches:
             kept, found = vectors(batch.column(1))
             for n, m in found.items():
-                ids = batch.column(0).take(pa.array(kept[n]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(m), n, np.int32)), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "dim", "vec"])
+                ids, no = (batch.column(c).take(pa.array(kept[n])) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, no, pa.array(np.full(len(m), n, np.int32)), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "row", "dim", "vec"])
 
-    rows = stage(df.select(F.col(key).cast("long").alias("id"), F.col(vector)).where("id is not null").mapInArrow(clean, "id long, dim int, vec binary"), "ann-rows")
+    given = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("given"), F.monotonically_increasing_id().alias("row")).where("id is not null")
+    rows = stage(given.mapInArrow(clean, "id long, row long, dim int, vec binary"), "ann-rows")
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
@@ -116,15 +141,13 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", s
                 own = batch.filter(pa.array(dims == n))
                 m = np.frombuffer(b"".join(own.column("vec").to_pylist())).reshape(-1, n)
                 bits, far, fit = encode(m, centres[n], turns[n])
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(far), pa.array(fit)], names=["id", "dim", "vec", "code", "far", "fit"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(far), pa.array(fit)], names=["id", "row", "dim", "vec", "code", "far", "fit"])
 
-    return stage(rows.mapInArrow(code, "id long, dim int, vec binary, code binary, far double, fit double"), "ann-index"), centres
+    return stage(rows.mapInArrow(code, "id long, row long, dim int, vec binary, code binary, far double, fit double"), "ann-index"), centres
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest by (distance, id) in double precision, not the query's own id."""
-    other = ids != own
-    ids, x = ids[other], x[other]
+def _nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest by (distance, id) in double precision."""
     d = np.sqrt(np.square(x - q).sum(axis=1))
     order = np.lexsort((ids, d))[:k]
     return ids[order], d[order]
@@ -143,24 +166,25 @@ def search(index: DataFrame, centres: dict[int, np.ndarray], queries: DataFrame,
 
 
 def query_blocks(queries: DataFrame):
-    """Blocks (ids, dims, vectors) of bounded bytes; read one partition at a time."""
-    ids, vecs, held, no = [], [], 0, 0
-    for row in queries.select("id", "vec").toLocalIterator():
+    """Blocks (first query's number, ids, rows in the index, vectors) of bounded bytes; read one partition at a time."""
+    ids, own, vecs, held, no = [], [], [], 0, 0
+    for row in queries.select("id", "row", "vec").toLocalIterator():
         ids.append(row["id"])
+        own.append(row["row"])
         vecs.append(bytes(row["vec"]))
         held += len(row["vec"]) + 64
         if held >= QUERY_BLOCK_BYTES:
-            yield no, np.array(ids, np.int64), vecs
-            no, ids, vecs, held = no + len(ids), [], [], 0
+            yield no, np.array(ids, np.int64), np.array(own, np.int64), vecs
+            no, ids, own, vecs, held = no + len(ids), [], [], [], 0
     if ids:
-        yield no, np.array(ids, np.int64), vecs
+        yield no, np.array(ids, np.int64), np.array(own, np.int64), vecs
 
 
 def search_block(index: DataFrame, centres: dict[int, np.ndarray], block, k: int, seed: int, epsilon: float) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def over(batches):
-        first, qids, raw = shared.value
+        first, qids, qrows, raw = shared.value
         sizes = np.array([len(v) // 8 for v in raw])
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         turns = {n: rotation(n, seed) for n in np.unique(sizes)}
@@ -171,7 +195,7 @@ def search_block(index: DataFrame, centres: dict[int, np.ndarray], block, k: int
                 if n not in by:
                     continue
                 own = batch.filter(pa.array(dims == n))
-                ids, far, fit = (np.asarray(own.column(c)) for c in ("id", "far", "fit"))
+                ids, nos, far, fit = (np.asarray(own.column(c)) for c in ("id", "row", "far", "fit"))
                 x = np.frombuffer(b"".join(own.column("vec").to_pylist())).reshape(-1, n)
                 codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 at, q = by[n]
@@ -183,8 +207,8 @@ def search_block(index: DataFrame, centres: dict[int, np.ndarray], block, k: int
                         i = int(at[lo + j])
                         had = best.get(i)
                         limit = kth[j] if had is None or len(had[0]) < k else min(kth[j], had[1][-1] ** 2 * (1 + 1e-9))
-                        rows = np.flatnonzero(low[:, j] <= limit)
-                        near, dist = _nearest(ids[rows], x[rows], q[lo + j], int(qids[i]), k)
+                        rows = np.flatnonzero((low[:, j] <= limit) & (nos != qrows[i]))
+                        near, dist = _nearest(ids[rows], x[rows], q[lo + j], k)
                         if had is not None:
                             near, dist = np.concatenate([had[0], near]), np.concatenate([had[1], dist])
                             order = np.lexsort((near, dist))[:k]
