@@ -12,12 +12,13 @@ that makes the expected number that bound), so models are of bounded size.
 
 Defined cases: null and empty texts and texts without a letter give ``und`` and score 0; with nothing to
 learn from every text gives ``und``; ties go to the language first in order.  Long texts are scored whole,
-in pieces; letters outside the basic plane are folded to 16 bits.
+in pieces that know the symbols before them; letters outside the basic plane are folded to 16 bits.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,6 +55,20 @@ def symbols(points: np.ndarray) -> np.ndarray:
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ORDER-gram that ends at each letter, or gap after a letter, 16 bits a symbol; and its text's index."""
+    return _grams(raw, offsets, np.zeros(ORDER - 1, np.uint64))[:2]
+
+
+def gram_pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams() of bounded pieces with the texts' own indexes; a text's parts give what the whole text would."""
+    last, ends = -1, np.zeros(ORDER - 1, np.uint64)
+    for part, at, which in pieces(raw, offsets):
+        keys, text, ends = _grams(part, at, ends if which[0] == last else np.zeros(ORDER - 1, np.uint64))
+        last = which[-1]
+        yield keys, which[text]
+
+
+def _grams(raw: np.ndarray, offsets: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Also the last symbols kept; before are those of an earlier part of the first text (zeros at its begin)."""
     points, at = codepoints(raw, offsets)
     sym = symbols(points)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -61,9 +76,11 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[at[:-1][np.diff(at) > 0]] = True
     keep = sym != 0
     keep[1:] |= (sym[:-1] != 0) & ~first[1:]
+    if len(sym) and before[-1]:
+        keep[0] = True
     sym, text = sym[keep], text[keep]
     if not len(sym):
-        return sym, text
+        return sym, text, before
     # a text begins after a gap: zeros stand before it
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     shift = np.zeros(len(sym), np.int64)
@@ -71,10 +88,12 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     place = np.arange(len(sym)) + np.cumsum(shift)
     wide = np.zeros(place[-1] + 1, np.uint64)
     wide[place] = sym
+    if text[0] == 0:
+        wide[: ORDER - 1] = before
     key = wide.copy()
     for j in range(1, ORDER):
         key[j:] |= wide[:-j] << np.uint64(16 * j)
-    return key[place], text
+    return key[place], text, wide[1 - ORDER :]
 
 
 def _hash(keys: np.ndarray, kind: int) -> np.ndarray:
@@ -112,11 +131,10 @@ class Model:
         """(nats a symbol under each language, number of symbols) of each text."""
         n = len(offsets) - 1
         total, count = np.zeros((n, len(self.langs))), np.zeros(n)
-        for part, at, which in pieces(raw, offsets):
-            keys, text = grams(part, at)
+        for keys, text in gram_pieces(raw, offsets):
             if len(keys):
                 starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                own = which[text[starts]]
+                own = text[starts]
                 total[own] -= np.add.reduceat(self.log_probs(keys), starts, axis=0, dtype=np.float64)
                 count[own] += np.diff(np.append(starts, len(text)))
         return total / np.maximum(count, 1)[:, None], count
@@ -177,9 +195,8 @@ def _count(batches):
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for part, at, which in pieces(raw, offsets):
-            keys, text = grams(part, at)
-            own = langs[which[text]] if len(keys) else np.zeros(0, object)
+        for keys, text in gram_pieces(raw, offsets):
+            own = langs[text] if len(keys) else np.zeros(0, object)
             for lang in set(own):
                 k, c = np.unique(keys[own == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
