@@ -8,11 +8,12 @@ As averaging and the layer are linear, scoring needs one number for each row of
 
 Defined cases: null texts count as empty; an empty text gets the layer's bias alone; without
 labels of both classes every score is the share of label 1 (0.5 without labels).  Labels that repeat for a document count once
-(the highest).  Long texts are scored whole, in pieces cut at blanks.
+(the highest).  Long texts are scored whole, in pieces that carry open words, pairs and n-grams over their cuts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,45 +31,90 @@ _AGAIN = np.uint64(0x5851F42D4C957F2D)
 _BLANKS = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 
 
+@dataclass
+class Cut:
+    """What the next part of a text needs of the parts before it."""
+
+    ends: np.ndarray  # the last symbols, three at most
+    total: np.ndarray  # of the word that the cut lies in: the sum of its hash so far, and its length
+    size: int
+    last: np.ndarray  # hash of the last whole word, if there is one
+
+
+BEGIN = Cut(np.zeros(1, np.uint64), np.zeros(1, np.uint64), 0, np.zeros(0, np.uint64))
+
+
 def buckets(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(rows of the table, index of the text) of all features of the texts."""
+    return _buckets(raw, offsets, BEGIN, False, bits)[:2]
+
+
+def bucket_pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """buckets() of bounded pieces with the texts' own indexes; a text's parts give what the whole text would."""
+    done, last, cut = int(offsets[0]), -1, BEGIN
+    for part, at, which in pieces(raw, offsets):
+        done += len(part)
+        rows, own, cut = _buckets(part, at, cut if which[0] == last else BEGIN, done < offsets[which[-1] + 1], BITS)
+        last = which[-1]
+        yield rows, which[own]
+
+
+def _buckets(raw: np.ndarray, offsets: np.ndarray, before: Cut, more: bool, bits: int) -> tuple[np.ndarray, np.ndarray, Cut]:
+    """before: of an earlier part of the first text; more: the last text goes on after these bytes."""
     points, at = codepoints(raw, offsets)
-    n = len(at) - 1
-    place = np.arange(len(points)) + np.repeat(np.arange(n), np.diff(at)) + 1  # a blank before each text, and one at the end
-    s = np.zeros(len(points) + n + 1, np.uint64)
+    n, lead = len(at) - 1, len(before.ends) - 1
+    place = lead + np.arange(len(points)) + np.repeat(np.arange(n), np.diff(at)) + 1  # a blank before each text, and one at the end
+    s = np.zeros(lead + len(points) + n + 1, np.uint64)
+    s[: lead + 1] = before.ends
     s[place] = np.where(np.isin(points, _BLANKS), 0, points + np.uint32(1))
     text = np.zeros(len(s), np.int64)
     text[place] = np.repeat(np.arange(n), np.diff(at))
+    if more:
+        s, text = s[:-1], text[:-1]
     full = s != 0
     down = np.uint64(64 - bits)
     found, own = [], []
-    if len(s) > 2:
-        h = s[:-2] * _M[64] + s[1:-1] * _M[65] + s[2:] * _M[66]
-        ok = np.flatnonzero(full[1:-1])
-        found.append(mix(h[ok]) >> down)
-        own.append(text[1:-1][ok])
-        if len(s) > 3:
-            h = h[:-1] * np.uint64(3) + s[3:] * _M[67]
-            ok = np.flatnonzero(full[1:-2] & full[2:-1])
-            found.append(mix(h[ok] + np.uint64(1)) >> down)
-            own.append(text[1:-2][ok])
-        edge = np.diff(full.astype(np.int8))
-        start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        if len(start):
-            at_word = np.flatnonzero(full)
-            within = at_word - np.repeat(start, stop - start)
-            h = s[at_word] * _M[within & 63]
-            lead = np.concatenate([[0], np.cumsum(stop - start)[:-1]])
-            word, of = mix(np.add.reduceat(h, lead) + (stop - start).astype(np.uint64)), text[start]
-            found.append(word >> down)
-            own.append(of)
-            pair = np.flatnonzero(of[1:] == of[:-1])
-            both = mix(word[:-1] * np.uint64(7) + word[1:])
-            found.append(np.where(word[:-1] == word[1:], _AGAIN, both)[pair] >> down)
-            own.append(of[1:][pair])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found).astype(np.int64), np.concatenate(own)
+    for wide in (3, 4):  # those whose last symbol is new; their inner symbols are one word's
+        lo, hi = max(lead + 2 - wide, 0), len(s) - wide + 1
+        if lo < hi:
+            ok = full[lo + 1 : hi + 1].copy()
+            if wide == 4:
+                ok &= full[lo + 2 : hi + 2]
+            ok = lo + np.flatnonzero(ok)
+            h = s[ok] * _M[64] + s[ok + 1] * _M[65] + s[ok + 2] * _M[66]
+            if wide == 4:
+                h = h * np.uint64(3) + s[ok + 3] * _M[67] + np.uint64(1)
+            found.append(mix(h) >> down)
+            own.append(text[ok + 1])
+    new = s[lead + 1 :]
+    edge = np.diff(np.concatenate([[False], new != 0, [False]]).astype(np.int8))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size, total, of = stop - start, np.zeros(0, np.uint64), text[lead + 1 :][start]
+    goes_on = before.size > 0 and len(start) > 0 and start[0] == 0
+    if len(start):
+        at_word = np.flatnonzero(new)
+        within = at_word - np.repeat(start, size)
+        if goes_on:
+            within[: size[0]] += before.size
+        total = np.add.reduceat(new[at_word] * _M[within & 63], np.concatenate([[0], np.cumsum(size)[:-1]]))
+    if goes_on:
+        total[:1] += before.total
+        size[0] += before.size
+    elif before.size:
+        total, size, of = np.concatenate([before.total, total]), np.concatenate([[before.size], size]), np.concatenate([[0], of])
+    rest, held = BEGIN.total, 0
+    if more and len(stop) and stop[-1] == len(new):
+        rest, held = total[-1:], int(size[-1])
+        total, size, of = total[:-1], size[:-1], of[:-1]
+    word = mix(total + size.astype(np.uint64))
+    found.append(word >> down)
+    own.append(of)
+    word, of = np.concatenate([before.last, word]), np.concatenate([np.zeros(len(before.last), np.int64), of])
+    pair = np.flatnonzero(of[1:] == of[:-1])
+    both = mix(word[:-1] * np.uint64(7) + word[1:])
+    found.append(np.where(word[:-1] == word[1:], _AGAIN, both)[pair] >> down)
+    own.append(of[1:][pair])
+    return np.concatenate(found).astype(np.int64), np.concatenate(own).astype(np.int64), Cut(s[-3:], rest, held, word[-1:])
 
 
 @dataclass
@@ -79,11 +125,11 @@ class Classifier:
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         total, count = np.zeros(n), np.zeros(n)
-        for part, at, which in pieces(raw, offsets):
-            rows, own = buckets(part, at)
-            m = len(which)
-            np.add.at(total, which, np.bincount(own, self.weight[rows], m))
-            np.add.at(count, which, np.bincount(own, minlength=m))
+        for rows, own in bucket_pieces(raw, offsets):
+            if len(own):
+                lo, m = own.min(), own.max() - own.min() + 1
+                total[lo : lo + m] += np.bincount(own - lo, self.weight[rows], m)
+                count[lo : lo + m] += np.bincount(own - lo, minlength=m)
         z = np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)
         return 1 / (1 + np.exp(-z))
 
@@ -121,13 +167,12 @@ def _bags(batches):
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         all_rows, all_share = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
-        for part, at, which in pieces(raw, offsets):
-            rows, own = buckets(part, at)
+        for rows, own in bucket_pieces(raw, offsets):
             order = np.argsort(own, kind="stable")
             rows, own = rows[order], own[order]
-            cuts = np.searchsorted(own, np.arange(len(which) + 1))
-            for j, i in enumerate(which):
-                k, c = np.unique(rows[cuts[j] : cuts[j + 1]], return_counts=True)
+            which, cuts = np.unique(own, return_index=True)
+            for i, one in zip(which, np.split(rows, cuts[1:]), strict=False):
+                k, c = np.unique(one, return_counts=True)
                 all_rows[i].append(k)
                 all_share[i].append(c)
         out_rows, out_share = [], []

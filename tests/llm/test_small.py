@@ -206,6 +206,20 @@ def test_a_long_run_without_blanks_is_one_word():
         assert jaccard.long_word_hashes(text, at).tolist() == jaccard.word_hashes(text, at)[0].tolist()
 
 
+@pytest.mark.parametrize("most", [4, 5, 7, 40, 300])  # a piece holds a character at least
+def test_languages_and_quality_of_long_texts_do_not_depend_on_the_cuts(monkeypatch, most):
+    from emberlog.llm import common
+
+    texts = ["", "aa  aa bb\u00e9 " * 9, "x" * 90 + " yy yy " + "\u4e2d\u6587" * 30, "   ", "12 a,b;c..  d " * 8, "q", " lead and trail\n\n"]
+    raw = [t.encode() for t in texts]
+    at, raw = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    plain = [sorted(zip(*(x.tolist() for x in f(raw, at)), strict=True)) for f in (langid.grams, quality.buckets)]
+    for module, name, want in ((langid, "gram_pieces", plain[0]), (quality, "bucket_pieces", plain[1])):
+        monkeypatch.setattr(module, "pieces", lambda r, a: common.pieces(r, a, most))
+        got = [pair for keys, own in getattr(module, name)(raw, at) for pair in zip(keys.tolist(), own.tolist(), strict=True)]
+        assert sorted(got) == want
+
+
 # decontamination
 
 
@@ -408,6 +422,18 @@ def test_neighbours_are_found_and_exact(spark, monkeypatch):
     assert hit / total >= 0.99 and [i for _, i, _ in got[1000]] == [0, *range(1001, 1010)]
 
 
+def test_rows_of_a_querys_own_id_are_candidates(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 1.0]), (0, [9.0, 9.0]), (1, [5.0, 0.5])], "vec_id long, embedding array<float>").repartition(3)
+    index, centres = ann.build_index(d)
+    got = [tuple(r) for r in ann.search(index, centres, index.where("id = 0"), k=2).select("query_id", "rank", "vec_id", "score").collect()]
+    far = lambda a, b: float(np.sqrt(np.square(np.subtract(a, b)).sum()))
+    want = []
+    for q, own in (([1.0, 0.0], 0), ([1.0, 1.0], 1), ([9.0, 9.0], 2)):
+        near = sorted((far(q, v), i) for no, (i, v) in enumerate([(0, [1.0, 0.0]), (0, [1.0, 1.0]), (0, [9.0, 9.0]), (1, [5.0, 0.5])]) if no != own)[:2]
+        want += [(0, r + 1, i, s) for r, (s, i) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
