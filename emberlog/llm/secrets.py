@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import stage, text_of
 
 KINDS = ("assign", "access", "hex", "owned")
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password", "((?i:password").replace("key)", "key))"), re.ASCII)
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Maximal runs: the same matches as with +, without those that are too short.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -59,13 +60,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Tokens of 20 or more characters with letters and digits that no base span overlaps."""
     out, j, held = [], 0, sorted((a, b) for a, _, b, _ in taken)
+    starts = [a for a, _ in held]
     for m in CANDIDATE.finditer(text):
         value = m[0]
         if len(DIGIT.findall(value)) < MIN_DIGITS or not LETTER.search(value) or bits_per_char(value) < MIN_BITS:
             continue
         while j < len(held) and held[j][1] <= m.start():
             j += 1
-        if any(a < m.end() and b > m.start() for a, b in held[j:]):
+        if any(held[i][1] > m.start() for i in range(j, bisect_left(starts, m.end()))):
             continue
         out.append((m.start(), 3, m.end(), value))
     return out
