@@ -70,21 +70,24 @@ def bounds(codes: np.ndarray, far: np.ndarray, fit: np.ndarray, queries: np.ndar
     off = np.abs(q - (least[:, None] + step[:, None] * level)).sum(axis=1) / np.sqrt(dim)  # the most that rounding changes
     packed = words(codes)
     ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
-    planes = [words(np.packbits((level >> b) & 1, axis=1)) for b in range(PLANES)]
+    planes = [words(np.packbits((level >> b) & 1, axis=1)) for b in reversed(range(PLANES))]
     inner = np.zeros((len(codes), len(queries)), np.float32)
     for w in range(packed.shape[1]):
-        own = packed[:, w, None]
-        for b, plane in enumerate(planes):
-            inner += np.bitwise_count(own & plane[None, :, w]).astype(np.float32) * np.float32(1 << b)
-    # signs are 2 bit - 1, coordinates least + step * level
+        count = np.zeros(inner.shape, np.uint16)  # of 64 bits times the levels
+        for plane in planes:
+            count <<= 1
+            count += np.bitwise_count(packed[:, w, None] & plane[None, :, w])
+        inner += count
+    # signs are 2 bit - 1 and coordinates least + step * level, so each estimate is inner * by[j] and sums of products of a row's and a query's number
     total = level.sum(axis=1, dtype=np.int64)
-    dot = (2 * (step * inner + least * ones[:, None]) - (step * total + least * dim)) / np.sqrt(dim)
-    fit = np.maximum(fit, 1e-9)[:, None]
-    est = dot / fit
-    wide = epsilon * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / max(dim - 1, 1)) + 1e-5 + off / fit
-    both = 2 * far[:, None] * qfar[None, :]
-    base = far[:, None] ** 2 + qfar[None, :] ** 2
-    return base - both * (est + wide), base - both * (est - wide)
+    fit = np.maximum(fit, 1e-9)
+    scale = 2 * far / fit
+    by, ahead, rest = (qfar / np.sqrt(dim) * v for v in (2 * step, 2 * least, -(step * total + least * dim)))
+    middle = np.stack([far * far, np.ones(len(far)), -scale * ones, -scale], axis=1) @ np.stack([np.ones(len(qfar)), qfar * qfar, ahead, rest])
+    middle -= inner * by * scale[:, None]
+    wide = epsilon * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / max(dim - 1, 1)) + 1e-5
+    reach = np.stack([2 * far * wide, scale], axis=1) @ np.stack([qfar, qfar * off])
+    return middle - reach, middle + reach
 
 
 def vectors(array: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
