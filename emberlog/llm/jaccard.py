@@ -8,9 +8,10 @@ more share a shingle among the first ``n - ceil(percent * n / 100) + 1`` of each
     errors of the sketch cost time and never links.
 2.  One pass takes every document's prefix.  Documents of one size and prefix form a group; exact copies always do.
 3.  Groups are listed under the shingles of their prefix, and pairs of groups are taken from the lists.  A
-    list isn't expanded into all its pairs: round one pairs each group with a few hubs of the list, the groups with the
+    list isn't expanded into all its pairs: round one pairs each group with a few hubs of the shingle, the groups with the
     fewest shingles of their own.  Later pairs are needed only between groups whose members are still in different
-    components; pairs that sizes and places in the prefixes rule out are filtered.
+    components; they meet by size class, a long list's in cells of bounded size, and pairs that sizes and places in the
+    prefixes rule out are filtered.
 4.  Group pairs are expanded to pairs of distinct sets and verified on the whole sets.
 5.  Verified links are joined to components by label propagation with pointer jumping.
 
@@ -34,11 +35,13 @@ from emberlog.llm.common import BLANK, CHUNK_BYTES, mix, odd_multipliers, pieces
 
 WORDS = 5
 PERCENT = 80
-#: The sketch has 16 to 32 cells a document, in powers of two between these.
-MIN_SKETCH_BITS, MAX_SKETCH_BITS = 16, 26
+#: The sketch has 16 to 32 cells a document, in powers of two between these: 32 MB a task and 64 MB in the driver at most.
+MIN_SKETCH_BITS, MAX_SKETCH_BITS = 16, 23
 SKETCH_CHUNK = 1 << 14
-#: Bits of the fixed-size filter of sets that are verified.
-FILTER_BITS = 20
+#: The filter of sets that are verified has 16 to 32 bits for each, in powers of two between these: 8 MB at most.
+MIN_FILTER_BITS, MAX_FILTER_BITS = 20, 26
+#: Bits of one of Spark's bitmaps.
+BITMAP = 32_768
 #: Postings of one list, about.
 LIST_ROWS = 1000
 #: Hubs of a shingle's list.
@@ -245,9 +248,9 @@ def prefixes(d: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
 
 
 def postings(pre: DataFrame) -> DataFrame:
-    """token, grp, n, at of the shingles that more than one group lists, once for each group.
+    """token, list, grp, n, at of the shingles that more than one group lists, once for each group.
 
-    A very common shingle's postings are dealt into several lists by group, and told whatever each list holds.
+    A very common shingle's postings are dealt into several lists by group, and told whatever each list holds; others' list is 0.
     """
     e = pre.select("grp", "n", F.posexplode(F.arrays_zip("prefix", "lists")).alias("at", "x")).select(F.col("x.prefix").alias("token"), F.col("x.lists").alias("lists"), "grp", "n", "at")
     spread = F.pmod(F.shiftrightunsigned(F.col("grp"), 8), F.col("lists"))
@@ -256,10 +259,10 @@ def postings(pre: DataFrame) -> DataFrame:
 
     def over(batches):
         held, follows_held = None, False  # the last group so far: whether it is told depends on the next
-        kinds = (np.int64, np.int64, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
 
         def told(which, columns):
-            return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["token", "grp", "n", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(c[which].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["token", "list", "grp", "n", "at"])
 
         for batch in batches:
             token, list_, grp, n, at = (np.asarray(batch.column(c)) for c in ("token", "list", "grp", "n", "at"))
@@ -272,11 +275,11 @@ def postings(pre: DataFrame) -> DataFrame:
             tell = follows | (list_ > 0)
             tell[:-1] |= follows[1:]
             held, follows_held = tuple(x[-1] for x in (token, list_, grp, n, at)), bool(follows[-1])
-            yield told(np.flatnonzero(tell[:-1]), (token, grp, n, at))
+            yield told(np.flatnonzero(tell[:-1]), (token, list_, grp, n, at))
         if held is not None and (follows_held or held[1] > 0):
-            yield told(np.zeros(1, np.int64), tuple(np.array([held[i]]) for i in (0, 2, 3, 4)))
+            yield told(np.zeros(1, np.int64), tuple(np.array([h]) for h in held))
 
-    return e.mapInArrow(over, "token long, grp long, n int, at int")
+    return e.mapInArrow(over, "token long, list long, grp long, n int, at int")
 
 
 def possible(percent: int, n, at, m, other_at):
@@ -288,20 +291,44 @@ def possible(percent: int, n, at, m, other_at):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (least * 100 >= (n + m - least) * percent)
 
 
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """grp, o_grp of groups that a shingle's postings (token, list, grp, n, at, and r, s: the least and greatest root of their members) put together and that may still join components.
+
+    Sets that can be similar lie in one class of sizes or in neighbouring ones.  A shingle with more than LIST_ROWS open
+    postings is dealt into lists by group, and each pair of lists meets in a cell of its own, once.
+    """
+    each = rows.groupBy("token", "list").agg(F.min("r").alias("_r"), F.max("s").alias("_s"), F.count("*").alias("_c"))
+    whole = each.groupBy("token").agg(F.min("_r").alias("_r"), F.max("_s").alias("_s"), F.sum("_c").alias("_c")).where("_r <> _s")
+    whole = each.select("token", "list").join(whole.select("token", F.ceil(F.col("_c") / LIST_ROWS).alias("_lists")), "token")
+    rows = rows.join(whole, ["token", "list"]).drop("list")
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64("grp"), F.col("_lists"))).withColumn("_class", F.floor(F.log("n") / F.log(F.lit(101 / percent))))
+    rows = stage(rows, "join-open")
+    left = rows.select("token", "grp", "n", "at", "r", "s", "_class", F.col("_i").alias("_x"), F.explode(F.sequence("_i", F.col("_lists") - 1)).alias("_y"))
+    right = rows.select("token", *(F.col(c).alias(f"o_{c}") for c in ("grp", "n", "at", "r", "s")), "_class", F.col("_i").alias("_y"), F.explode(F.sequence(F.lit(0).cast("long"), "_i")).alias("_x"))
+    right = right.withColumn("_class", F.explode(F.array(*(F.col("_class") + i for i in (-1, 0, 1)))))
+    more = left.join(right, ["token", "_x", "_y", "_class"]).where("(_x < _y or grp < o_grp) and not (r = s and o_r = o_s and r = o_r)")
+    more = more.where(possible(percent, F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at")))
+    return more.select(F.least("grp", "o_grp").alias("grp"), F.greatest("grp", "o_grp").alias("o_grp")).distinct()
+
+
 def packed(d: DataFrame, wanted: DataFrame) -> DataFrame:
     """_name and compressed text of documents whose _name is in wanted, and of a few others.
 
-    The scan drops most other documents by a filter of fixed size; callers join by name.  Texts are shipped
+    The scan drops most other documents by a filter of bounded size; callers join by name.  Texts are shipped
     rather than sets: compressed, a text is a third of its shingles' hashes.
     """
-    bit = F.shiftrightunsigned(F.xxhash64("_name"), 64 - FILTER_BITS).cast("int")
-    some = np.zeros(1 << FILTER_BITS, bool)
-    some[wanted.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most 2**FILTER_BITS numbers
-    shared = d.sparkSession.sparkContext.broadcast(some)
+    bits = min(max(int(wanted.count()).bit_length() + 4, MIN_FILTER_BITS), MAX_FILTER_BITS)
+    bit = F.shiftrightunsigned(F.xxhash64("_name"), 64 - bits).cast("int")
+    maps = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP).alias("at")).agg(F.bitmap_construct_agg((F.col("bit") % BITMAP).cast("long")).alias("bits"))
+    some = np.zeros((max((1 << bits) // BITMAP, 1), BITMAP // 8), np.uint8)
+    for r in maps.toLocalIterator():  # 4 KB a row
+        some[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = d.sparkSession.sparkContext.broadcast(some.reshape(-1))
 
     def over(batches):
         for batch in batches:
-            keep = pa.array(np.flatnonzero(shared.value[np.asarray(batch.column("_bit"))]))
+            at = np.asarray(batch.column("_bit"))
+            keep = pa.array(np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1))
             part = batch.select(["_name", "_text"]).take(keep)
             texts = [zstandard.compress(t.encode(), 3) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("_name"), pa.array(texts, pa.binary())], names=["_name", "packed"])
@@ -368,7 +395,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links).  documents: key, n_shingles, component_id, text_hash for every row; links: verified pairs of distinct sets."""
+    """(documents, links).
+
+    documents: key, n_shingles, component_id, text_hash, first_hash for every row; first_hash is the text's of the component's
+    first row, by id (null ids last) and then by hash.  links: verified pairs of distinct sets that connect each
+    component; pairs that others have connected already are not among them.
+    """
     d = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
     d = d.withColumn("_name", named_by(F.col("_id"), F.col("_tag")))
     bits = sketch_bits(docs.count())
@@ -377,7 +409,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     sketch = gathered(sketches, bits)
     pre = stage(prefixes(d.select("_id", "_tag", "_text"), sketch, percent), "join-prefixes")
     nodes = pre.groupBy("print").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_tag")).alias("x"), F.min("grp").alias("grp"))
-    nodes = stage(nodes.select("print", "x._id", named_by(F.col("x._id"), F.col("x._tag")).alias("_name"), "grp"), "join-nodes")
+    nodes = stage(nodes.select("print", "x._id", "x._tag", named_by(F.col("x._id"), F.col("x._tag")).alias("_name"), "grp"), "join-nodes")
     groups = nodes.groupBy("grp").agg(F.min("print").alias("pivot"))
     lists = stage(postings(pre), "join-lists")
     unstage(pre)
@@ -385,9 +417,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     # round one: every group with its lists' hubs, and the members of each group with its pivot
     common = lists.groupBy("grp").agg(F.count("*").alias("c"))
     own = lists.join(common, "grp").withColumn("_u", F.expr(f"n - ({percent} * n + 99) div 100 + 1 - c"))
-    hubs = own.groupBy("token", F.pmod(F.shiftrightunsigned(F.col("grp"), 40), F.lit(HUBS)).alias("_h")).agg(F.min(F.struct("_u", "n", "grp", "at")).alias("x"))
+    each = own.groupBy("token", "list", F.pmod(F.shiftrightunsigned(F.col("grp"), 40), F.lit(HUBS)).alias("_h")).agg(F.min(F.struct("_u", "n", "grp", "at")).alias("x"))
+    hubs = each.groupBy("token", "_h").agg(F.min("x").alias("x"))
     hubs = hubs.select("token", F.col("x.grp").alias("hub"), F.col("x.n").alias("h_n"), F.col("x.at").alias("h_at"))
-    near = lists.join(hubs, "token").where("grp <> hub").where(possible(percent, F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"))).select("grp", "hub").distinct()
+    hubs = each.select("token", "list").distinct().join(hubs, "token")  # a common shingle's lists meet its hubs apart
+    near = lists.join(hubs, ["token", "list"]).where("grp <> hub").where(possible(percent, F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"))).select("grp", "hub").distinct()
     near = near.join(groups.select("grp", F.col("pivot").alias("p")), "grp").join(groups.select(F.col("grp").alias("hub"), F.col("pivot").alias("q")), "hub").select("p", "q")
     inner = nodes.join(groups, "grp").where("print <> pivot").select(F.col("print").alias("p"), F.col("pivot").alias("q"))
     pairs = near.unionByName(inner).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
@@ -396,14 +430,9 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
 
     # round two: only what may still join different components
     roots = components(first.where("linked"))
-    nodes = stage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "_id", "_name", "grp", F.coalesce("root", "print").alias("root")), "join-roots")
+    nodes = stage(nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "_id", "_tag", "_name", "grp", F.coalesce("root", "print").alias("root")), "join-roots")
     groups = nodes.groupBy("grp").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    rows = lists.join(groups, "grp")
-    open_ = rows.groupBy("token").agg(F.min("r").alias("_r"), F.max("s").alias("_s")).where("_r <> _s").select("token")
-    rows = stage(rows.join(open_, "token"), "join-open")
-    o = rows.select("token", *(F.col(c).alias(f"o_{c}") for c in ("grp", "n", "at", "r", "s")))
-    more = rows.join(o, "token").where("grp < o_grp and not (r = s and o_r = o_s and r = o_r)")
-    more = more.where(possible(percent, F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"))).select("grp", "o_grp").distinct()
+    more = open_pairs(lists.join(groups, "grp"), percent)
     mixed = groups.where("r <> s").select("grp", F.col("grp").alias("o_grp"))
     more = more.unionByName(mixed)
     left, right = nodes.select("grp", F.col("print").alias("p"), F.col("root").alias("r")), nodes.select(F.col("grp").alias("o_grp"), F.col("print").alias("q"), F.col("root").alias("s"))
@@ -415,10 +444,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     linked = nodes.select("root", "print").join(second.where("linked").select(F.col("a").alias("print"), F.col("b")), "print").select(F.col("root").alias("a"), "b")
     linked = linked.join(nodes.select(F.col("print").alias("b"), F.col("root").alias("o")), "b").select("a", F.col("o").alias("b"))
     over = components(linked)  # of components
-    nodes = nodes.join(over, nodes["root"] == over["node"], "left").select("print", "_id", F.coalesce(over["root"], nodes["root"]).alias("root"))
-    names = nodes.groupBy("root").agg(F.min("_id").alias("component_id"))
-    nodes = nodes.join(names, "root").select("print", "component_id")
+    nodes = nodes.join(over, nodes["root"] == over["node"], "left").select("print", "_id", "_tag", F.coalesce(over["root"], nodes["root"]).alias("root"))
+    names = nodes.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_tag")).alias("x"))
+    names = names.select("root", F.col("x._id").alias("component_id"), F.col("x._tag").alias("first_hash"))
+    nodes = nodes.join(names, "root").select("print", "component_id", "first_hash")
     rows = said.where("chunk is null").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "print", F.col("_tag").alias("text_hash"))
-    alone = rows.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id"), "text_hash")
-    found = rows.where("n_shingles > 0").join(nodes, "print").select(key, "n_shingles", "component_id", "text_hash")
+    alone = rows.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id"), "text_hash", F.col("text_hash").alias("first_hash"))
+    found = rows.where("n_shingles > 0").join(nodes, "print").select(key, "n_shingles", "component_id", "text_hash", "first_hash")
     return found.unionByName(alone), links

@@ -54,7 +54,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_sets(table(spark, sf_dir, "documents"))[0].drop("text_hash")
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))[0].drop("text_hash", "first_hash")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

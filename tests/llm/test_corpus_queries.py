@@ -71,3 +71,49 @@ def test_neighbour_query_has_its_shape(spark):
     got = rows(spark, "op7_neighbours")
     assert set(got["query_id"]) == {i for i in table(spark, "embeddings")["vec_id"] if i % 100 == 0}
     assert all(sorted(g["rank"]) == list(range(1, 11)) and g.sort_values("rank")["score"].is_monotonic_increasing for _, g in got.groupby("query_id"))
+
+
+def test_linked_documents_are_those_of_all_pairs(spark):
+    from test_small import plain_components
+
+    docs = table(spark, "documents")
+    got = rows(spark, "op6_jaccard")
+    assert Counter(map(tuple, got[["doc_id", "n_shingles", "component_id"]].to_numpy().tolist())) == plain_components(list(zip(docs["doc_id"].tolist(), docs["text"], strict=True)))
+
+
+def test_neighbours_are_those_of_all_rows(spark):
+    given = table(spark, "embeddings")
+    ids, x = given["vec_id"].to_numpy(), np.array(given["embedding"].tolist(), np.float64)
+    got, hits = rows(spark, "op7_neighbours"), 0
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(np.square(x - x[ids == q][0]).sum(axis=1))
+        d[ids == q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        hits += len(set(want) & set(part["vec_id"]))
+        assert all(abs(r.score - d[ids == r.vec_id][0]) < 1e-12 for r in part.itertuples())
+    assert hits >= 0.9 * len(got)
+
+
+def test_base_secrets_are_those_of_the_plain_patterns(spark):
+    import hashlib
+    import re
+
+    plain = [
+        ("assign", re.compile("((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII), 2, 8),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+        ("hex", re.compile("[0-9a-f]+"), 0, 32),
+    ]
+    got = rows(spark, "op3_secrets").set_index("doc_id")
+    for d in table(spark, "documents").itertuples():
+        found = [(m.start(), n, m.end(), kind) for n, (kind, p, group, least) in enumerate(plain) for m in p.finditer(d.text or "") if len(m[group]) >= least]
+        r = got.loc[d.doc_id]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(f[1] == n for f in found) for n in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found)).encode()).hexdigest()
+
+
+def test_shards_hold_every_document_once(spark):
+    docs, got = table(spark, "documents"), rows(spark, "op10_sharding")
+    want = Counter((int(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in zip(docs["doc_id"], docs["text"], strict=True))
+    assert Counter(map(tuple, got[["doc_id", "size", "text_crc32"]].to_numpy().tolist())) == want
+    assert set(got["law"]) == {"key"} and ((got["grown_shard"] == got["shard"]) | (got["grown_shard"] == 24)).all()
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in got.groupby("shard"))

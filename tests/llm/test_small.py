@@ -187,6 +187,21 @@ def test_components_are_those_of_all_pairs(spark, seed, monkeypatch):
     assert links.count() > 0
 
 
+def test_a_family_just_below_the_limit_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 6)  # so that open lists are dealt into cells
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    rng = np.random.default_rng(11)
+    base, rows = prose(rng, 100).split(), []
+    for i in range(40):
+        w = list(base)
+        for at in rng.choice(np.arange(5, 95, 6), int(rng.integers(1, 3)), replace=False):
+            w[int(at)] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base[: 100 - i])) for i in range(0, 45, 3)]
+    got, _ = jaccard.similar_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == plain_components(rows)
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     text = (" ".join(f"w{i % 977}" for i in range(60_000)) + " ÄÖ\u0085x").encode()
     raw, at = np.frombuffer(text * 3, np.uint8), np.array([0, len(text), 2 * len(text), 3 * len(text)])
@@ -619,6 +634,33 @@ def test_unknown_formats_are_refused():
 # the pipeline
 
 
+def test_one_row_of_each_component_stays(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " more"), (4, b), (None, b), (9, b + " more"), (5, c), (5, c), (5, c + " more"), (5, prose(rng, 60)), (None, None), (None, ""), (6, None), (6, None)]
+    d = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, component_id long")
+    got = corpus_pipeline.one_of_each(spark, d, "")
+    assert got.columns == d.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert sum(n for (i, t), n in kept.items() if i is None and t and t.startswith(a)) == 1
+    assert sum(n for (i, t), n in kept.items() if t and t.startswith(b)) == 1 == kept[4, b]
+    assert sum(n for (i, t), n in kept.items() if t and t.startswith(c)) == 1 and kept[5, rows[9][1]] == 1
+    assert kept[None, None] == kept[None, ""] == 1 and kept[6, None] == 2
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = str(tmp_path)
+    d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, d, base).count() == 0
+
+
 def test_the_pipeline_runs_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
