@@ -298,8 +298,10 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     postings is dealt into lists by group, and each pair of lists meets in a cell of its own, once.
     """
     each = rows.groupBy("token", "list").agg(F.min("r").alias("_r"), F.max("s").alias("_s"), F.count("*").alias("_c"))
-    whole = each.groupBy("token").agg(F.min("_r").alias("_r"), F.max("_s").alias("_s"), F.sum("_c").alias("_c")).where("_r <> _s")
-    whole = each.select("token", "list").join(whole.select("token", F.ceil(F.col("_c") / LIST_ROWS).alias("_lists")), "token")
+    dealt = each.where("list > 0")
+    whole = dealt.groupBy("token").agg(F.min("_r").alias("_r"), F.max("_s").alias("_s"), F.sum("_c").alias("_c"))
+    whole = dealt.select("token", "list").join(whole, "token").unionByName(each.where("list = 0"))
+    whole = whole.where("_r <> _s").select("token", "list", F.ceil(F.col("_c") / LIST_ROWS).alias("_lists"))
     rows = rows.join(whole, ["token", "list"]).drop("list")
     rows = rows.withColumn("_i", F.pmod(F.xxhash64("grp"), F.col("_lists"))).withColumn("_class", F.floor(F.log("n") / F.log(F.lit(101 / percent))))
     rows = stage(rows, "join-open")
@@ -418,9 +420,10 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     common = lists.groupBy("grp").agg(F.count("*").alias("c"))
     own = lists.join(common, "grp").withColumn("_u", F.expr(f"n - ({percent} * n + 99) div 100 + 1 - c"))
     each = own.groupBy("token", "list", F.pmod(F.shiftrightunsigned(F.col("grp"), 40), F.lit(HUBS)).alias("_h")).agg(F.min(F.struct("_u", "n", "grp", "at")).alias("x"))
-    hubs = each.groupBy("token", "_h").agg(F.min("x").alias("x"))
-    hubs = hubs.select("token", F.col("x.grp").alias("hub"), F.col("x.n").alias("h_n"), F.col("x.at").alias("h_at"))
-    hubs = each.select("token", "list").distinct().join(hubs, "token")  # a common shingle's lists meet its hubs apart
+    hubs = each.where("list > 0").groupBy("token", "_h").agg(F.min("x").alias("x"))
+    hubs = lists.where("list > 0").select("token", "list").distinct().join(hubs, "token").drop("_h")  # a common shingle's lists meet its hubs apart
+    hubs = hubs.unionByName(each.where("list = 0").drop("_h"))
+    hubs = hubs.select("token", "list", F.col("x.grp").alias("hub"), F.col("x.n").alias("h_n"), F.col("x.at").alias("h_at"))
     near = lists.join(hubs, ["token", "list"]).where("grp <> hub").where(possible(percent, F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"))).select("grp", "hub").distinct()
     near = near.join(groups.select("grp", F.col("pivot").alias("p")), "grp").join(groups.select(F.col("grp").alias("hub"), F.col("pivot").alias("q")), "hub").select("p", "q")
     inner = nodes.join(groups, "grp").where("print <> pivot").select(F.col("print").alias("p"), F.col("pivot").alias("q"))
