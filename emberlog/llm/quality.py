@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import appended, codepoints, filled, mix, odd_multipliers, pieces, text_of, utf8
+from emberlog.llm.common import appended, bound_batches, codepoints, filled, mix, odd_multipliers, pieces, text_of, utf8
 
 BITS = 18
 DIM = 8
@@ -163,7 +163,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     return Classifier((table @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _summed(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once, and the sum of its counts."""
+    u, back = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
+    return u, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), len(u)) if len(u) else np.zeros(0)
+
+
 def _bags(batches):
+    """A text's pieces are added up before they hold more than twice the table's rows, so a long text takes no more memory than its bag."""
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         all_rows, all_share = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
@@ -175,11 +182,11 @@ def _bags(batches):
                 k, c = np.unique(one, return_counts=True)
                 all_rows[i].append(k)
                 all_share[i].append(c)
+                if sum(map(len, all_rows[i])) > 2 << BITS:
+                    all_rows[i], all_share[i] = ([x] for x in _summed(all_rows[i], all_share[i]))
         out_rows, out_share = [], []
         for k, c in zip(all_rows, all_share, strict=True):
-            k, c = np.concatenate([np.zeros(0, np.int64), *k]), np.concatenate([np.zeros(0, np.int64), *c])
-            u, back = np.unique(k, return_inverse=True)
-            c = np.bincount(back, c, len(u)) if len(u) else np.zeros(0)
+            u, c = _summed(k, c)
             out_rows.append(u.astype(np.int32).tobytes())
             out_share.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary()), pa.array(out_share, pa.binary()), batch.column("label"), batch.column("u")], names=["rows", "shares", "label", "u"])
@@ -187,6 +194,7 @@ def _bags(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Classifier:
     """A classifier from docs' text and labels' 0/1 column, joined by key; callers leave out the rows not to learn from."""
+    bound_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     n = marked.count()
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)

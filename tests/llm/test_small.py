@@ -3,14 +3,16 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, decontam, html_text, huffman, jaccard, langid, mixing, quality, secrets, sharding
+from emberlog.llm import ann, common, decontam, html_text, huffman, jaccard, langid, mixing, quality, secrets, sharding
 
 WORDS = "amber birch cedar delta ember flint grove haven ivory jetty kelp lotus maple north ocean pearl quartz river stone thorn umber violet willow xenon yarrow zinc".split()
 
@@ -352,6 +354,37 @@ def test_languages_are_told_apart(spark):
 # quality
 
 
+def test_learning_quality_bounds_its_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        quality.fit(frame(spark, [(1, "amber birch", None, None), (2, None, None, None)]), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+        assert int(spark.conf.get(name)) <= common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, had)
+
+
+def test_a_long_text_is_learned_from_in_bounded_memory():
+    letters = np.random.default_rng(5).integers(97, 123, 6 << 20, dtype=np.uint8)
+    letters[::7] = 32
+    text = letters.tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "", "amber"]), pa.array([1, 0, 1], pa.int32()), pa.array([0.1, 0.2, 0.3])], names=["text", "label", "u"])
+    tracemalloc.start()
+    try:
+        (out,) = quality._bags(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
+    count = np.zeros(1 << quality.BITS, np.int64)
+    for rows, own in quality.bucket_pieces(*quality.utf8(batch.column("text"))):
+        count += np.bincount(rows[own == 0], minlength=len(count))
+    rows, shares = (np.frombuffer(out.column(c)[0].as_py(), t) for c, t in (("rows", np.int32), ("shares", np.float32)))
+    assert rows.tolist() == np.flatnonzero(count).tolist()
+    assert shares.tolist() == (count[rows] / count.sum()).astype(np.float32).tolist()
+    assert out.column("rows")[1].as_py() == b""
+
+
 def test_quality_is_learned_from_words_and_pieces_of_words(spark):
     rng = np.random.default_rng(1)
     good = lambda: prose(rng, 60)
