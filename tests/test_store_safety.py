@@ -313,3 +313,15 @@ def test_a_store_without_versions_is_empty_and_one_that_lost_some_is_refused(sto
     with pytest.raises(store_module.Damaged):
         LogStore(store.spark, store.path).count(LogFilter())
     assert json.loads(store._read(store._version_file(2)))["add"]
+
+
+@pytest.mark.parametrize("local", [20_000, 3])
+def test_merging_more_blocks_than_one_read_names(spark, tmp_path, monkeypatch, local):
+    monkeypatch.setattr(store_module, "NAMED_FILES", 2)
+    monkeypatch.setattr(store_module, "LOCAL_BLOCKS", local)
+    store = LogStore(spark, str(tmp_path / "store"), Config(compaction_rows=5, merge_target_rows=20, retention_max_age=None))
+    add(store, 40)
+    assert store.compact(force=True) == "ok" and store.catalogue().count() >= 8
+    before = digest.digest(store.entries())
+    assert store.merge() == "ok" and store.catalogue().count() <= 3
+    assert digest.digest(store.entries()) == before and numbers(store.entries()) == list(range(40))
