@@ -34,3 +34,15 @@ def test_query_equals_its_sql(spark, duck, name):
     got = Counter(tuple(r[c] for c in columns) for r in df.collect())
     at = [want.columns.index(c) for c in columns]
     assert got == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_page_cursor_sorts_no_more_than_a_range_in_one_task(spark, duck, monkeypatch, tmp_path):
+    monkeypatch.setattr(own, "scratch", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = own.QUERIES["page_cursor"](spark, DATA).select("event_id", "ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["entry_count"] for r in own.LogStore(spark, str(tmp_path / "store-pages")).catalogue().collect()]
+    assert len(sizes) > 1 and max(sizes) < sum(sizes)
+    assert Counter(map(tuple, got)) == Counter(duck.sql(own.ORACLE_SQL["page_cursor"]).fetchall())

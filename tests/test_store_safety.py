@@ -325,3 +325,14 @@ def test_merging_more_blocks_than_one_read_names(spark, tmp_path, monkeypatch, l
     before = digest.digest(store.entries())
     assert store.merge() == "ok" and store.catalogue().count() <= 3
     assert digest.digest(store.entries()) == before and numbers(store.entries()) == list(range(40))
+
+
+def test_pages_go_on_in_the_next_block_and_sort_pieces(store, monkeypatch):
+    monkeypatch.setattr(store_module, "PAGE_READ", 2, raising=False)
+    monkeypatch.setattr(store_module, "MOST_PAGE_READ", 3, raising=False)
+    for k in range(3):
+        add(store, 7, 7 * k)
+    pages = list(store.pages(5))
+    assert [len(p) for p in pages] == [5, 5, 5, 5, 1] and [int(e["metadata"]["n"]) for p in pages for _, _, e in p] == list(range(21))
+    for p in range(4):
+        assert list(store.pages(5, pages[p][-1][:2])) == pages[p + 1 :]
